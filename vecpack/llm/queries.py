@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpack.llm import decontaminate, html_extract, line_dedup, secrets, simhash, token_counts, url_filter
+from vecpack.llm import bpe, decontaminate, html_extract, line_dedup, secrets, simhash, token_counts, url_filter
 from vecpack.llm.common import small_batches, table
 
 
@@ -66,6 +66,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(docs, tokenizer("byte_bpe_50k.tiktoken"), pre_token_pattern()).drop("text")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), pre_token_pattern())
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
@@ -74,6 +80,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_html_extract": op7_html_extract,
     "op8_secret_scan": op8_secret_scan,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL = {
