@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpack.llm import bpe, decontaminate, embedding_dedup, html_extract, line_dedup, secrets, simhash, token_counts, url_filter
+from vecpack.llm import bpe, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, secrets, simhash, token_counts, url_filter
 from vecpack.llm.common import small_batches, table
 
 
@@ -77,6 +77,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), pre_token_pattern())
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (page_id null) and pages (doc_id null), by a text model of a bounded sample of the documents."""
+    small_batches(spark)
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.fit(docs)
+    result = ["lid_lang AS lang", "round(lid_score, 6) AS score", "lid_kept AS kept"]
+    of_docs = language_id.identify_documents(docs.select("doc_id", "text", "lang", "source"), model).selectExpr("doc_id", "CAST(NULL AS BIGINT) AS page_id", *result)
+    of_pages = language_id.identify_pages(pages, model).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "page_id", *result)
+    return of_docs.unionAll(of_pages)
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -87,6 +98,7 @@ QUERIES = {
     "op7_html_extract": op7_html_extract,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
