@@ -16,6 +16,8 @@ TINY = 1e-10
 # Fixed values of the codebook's iteration: half-width in standard deviations, intervals of the trapezoid
 # rule in each cell, most rounds, largest change at which it stops, least mass of a cell that moves.
 SPAN, INTERVALS, ROUNDS, TOLERANCE, LEAST_MASS = 5.0, 200, 100, 1e-8, 1e-15
+#: Seeds go with one of these, so that a model never repeats the numbers of data, or of its other matrix, of the same seed.
+_ROTATION, _PROJECTION = 1, 2
 
 MODEL_SCHEMA = T.StructType([
     T.StructField("dim", T.IntegerType()), T.StructField("variant", T.StringType()), T.StructField("bits", T.IntegerType()),
@@ -33,13 +35,13 @@ def random_rotation(dim: int, seed: int) -> np.ndarray:
 
     That is what orthonormalising its columns in turn gives, without that process's rounding.
     """
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
+    q, r = np.linalg.qr(np.random.default_rng([_ROTATION, seed]).standard_normal((dim, dim)))
     return q * np.where(np.diag(r) < 0, -1.0, 1.0)
 
 
 def sign_projection(dim: int, seed: int) -> np.ndarray:
     """A seeded matrix of independent N(0, 1/dim)."""
-    return np.random.default_rng(seed).standard_normal((dim, dim)) / np.sqrt(dim)
+    return np.random.default_rng([_PROJECTION, seed]).standard_normal((dim, dim)) / np.sqrt(dim)
 
 
 def gaussian_density(x: np.ndarray, sigma: float) -> np.ndarray:

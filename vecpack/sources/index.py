@@ -114,7 +114,7 @@ class VectorIndex:
         kind = rows.schema["vec_id"].dataType
         wrong = F.col("vec_id").isNull()
         if not isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-            wrong = wrong | F.col("vec_id").cast("decimal(38,0)").isNull() | (F.col("vec_id").cast("decimal(38,0)") >= 2**63)
+            wrong = wrong | F.col("vec_id").cast("decimal(38,0)").isNull() | (F.col("vec_id").cast("decimal(38,0)") >= F.lit("9223372036854775808").cast("decimal(38,0)"))
         if not rows.where(wrong | (F.col("vec_id") < 0)).isEmpty():
             raise InvalidVector("ids must be 0 to 2^63 - 1")
         base = self.all_vectors().agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).first()["n"]
