@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from vecpack.llm.common import small_batches, without
 
 #: Characters of text after which a block of documents, and with it its word list, is closed.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 #: Words whose ids a Python worker remembers; then it forgets them all.
 REMEMBERED = 300_000
 
@@ -137,18 +137,19 @@ def _explode(pattern: str, text: int, buckets: int):
                 n = batch.num_rows
                 yield rows_of(name, batch.columns, [_DOCUMENT] * n, range(row, row + n), [None] * n)
                 row += n
+            numbers.clear()
             flat = np.concatenate([*sequences, np.zeros(0, "<u4")])
-            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
-            parts: dict[int, list[tuple[bytes, int]]] = {}
-            for word, number in zip(words, rank.tolist(), strict=True):
-                parts.setdefault(xxh32_intdigest(word) % buckets, []).append((word, number))
-            for part in parts.values():
-                part.sort()
-            dealt = np.array([number for part in parts.values() for _, number in part], np.int64)
-            whole = _pack([len(x) for x in sequences], _short(rank[flat]), list(parts), [len(part) for part in parts.values()], _short(dealt))
-            lists = [_pack([len(w) for w, _ in part], b"".join(w for w, _ in part)) for part in parts.values()]
+            rank[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words))
+            bucket = np.array([xxh32_intdigest(w) % buckets for w in words], np.int64)
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            parts, sizes = np.unique(bucket, return_counts=True)
+            whole = _pack([len(x) for x in sequences], _short(rank[flat]), parts, sizes, _short(rank[order]))
+            lists = []
+            for part in np.split(order, np.cumsum(sizes)[:-1]) if len(parts) else []:
+                some = [words[i] for i in part.tolist()]
+                lists.append(_pack([len(w) for w in some], b"".join(some)))
             yield rows_of(name, None, [_SEQUENCES, *parts], [None] * (1 + len(parts)), [whole, *lists])
 
         for batch in batches:
@@ -196,8 +197,15 @@ def _encode_words(vocabulary: str, pattern: str):
     return run
 
 
-def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The documents of a block with their ids, put together by position from the ids of its words."""
+def _assemble(decoder: str | None):
+    """The documents of a block with their ids, put together by position from the ids of its words.
+
+    With the vocabulary ``decoder``, also with the bytes that the ids decode to.
+    """
+    return lambda left, right: _assembled(left, right, decoder)
+
+
+def _assembled(left: pa.Table, right: pa.Table, decoder: str | None) -> pa.Table:
     docs = left.filter(pc.equal(left["bpe_bucket"], _DOCUMENT))
     docs = docs.take(pc.sort_indices(docs["bpe_row"]))
     (whole,) = left.filter(pc.equal(left["bpe_bucket"], _SEQUENCES))["bpe_packed"].to_pylist()
@@ -222,13 +230,25 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         at += n
     made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
     digests = [hashlib.sha256(v.astype("<u4").tobytes()).hexdigest() for v in values[1:]]
-    return docs.drop_columns(_BLOCK.names).append_column("ids", made).append_column("n_tokens", pc.cast(pc.list_value_length(made), pa.int64())).append_column("ids_sha256", pa.array(digests, pa.string()))
+    made_columns = {"ids": made, "n_tokens": pc.cast(pc.list_value_length(made), pa.int64()), "ids_sha256": pa.array(digests, pa.string())}
+    if decoder:
+        made_columns["decoded"] = pa.array([_bytes_of(v, decoder) for v in values[1:]], pa.binary())
+    docs = docs.drop_columns(_BLOCK.names)
+    for name, column in made_columns.items():
+        docs = docs.append_column(name, column)
+    return docs
+
+
+def _bytes_of(ids: np.ndarray, vocabulary: str) -> bytes:
+    flat, offsets = _token_bytes(vocabulary)
+    return _gather(flat, offsets, ids.astype(np.int64))[0].tobytes()
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """``df`` without its ``text``, with ``ids`` (array of int): its byte-level BPE token ids, no special ones.
 
-    And n_tokens, and ids_sha256: the SHA-256 of the ids as little-endian unsigned 32-bit numbers.
+    And n_tokens, and ids_sha256: the SHA-256 of the ids as little-endian unsigned 32-bit numbers. With
+    ``decoded``, the ids are decoded in the same pass, as :func:`decode` does, to the column ``decoded``.
 
     ``vocabulary`` is the place of a file of tiktoken ranks; each match of ``pattern`` is encoded by
     itself. Null and empty texts have no ids. Pre-tokens are listed with their positions for each block of
@@ -239,15 +259,16 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") ->
     ``df`` must come in the same order if they are read again, as from files: else the run stops, as the
     blocks' names differ.
     """
-    docs = without(df, ["ids", "n_tokens", "ids_sha256", *_BLOCK.names])
+    more = [T.StructField("decoded", T.BinaryType())] if decoded else []
+    docs = without(df, ["ids", "n_tokens", "ids_sha256", *_BLOCK.names, *(f.name for f in more)])
     kept = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != text]
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exploded = docs.mapInArrow(_explode(pattern, docs.columns.index(text), buckets), T.StructType(kept + _BLOCK.fields)).repartition("bpe_block")
     # Only the lists go on from here; both readers of the exchange get all columns, so that it is reused.
     lists = exploded.mapInArrow(_only_lists, _BLOCK).repartition("bpe_bucket")
     words = lists.mapInArrow(_encode_words(vocabulary, pattern), "bpe_block string, bpe_bucket int, bpe_ids binary")
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
-    return exploded.groupBy("bpe_block").cogroup(words.groupBy("bpe_block")).applyInArrow(_assemble, schema)
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), *more])
+    return exploded.groupBy("bpe_block").cogroup(words.groupBy("bpe_block")).applyInArrow(_assemble(vocabulary if decoded else None), schema)
 
 
 def _only_lists(batches):
@@ -266,11 +287,10 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     kept = without(df, ["decoded"])
 
     def run(batches):
-        flat, offsets = _token_bytes(vocabulary)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            made = [_gather(flat, offsets, values[a:b].astype(np.int64))[0].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            made = [_bytes_of(values[a:b], vocabulary) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
@@ -279,5 +299,5 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` without its text, with n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to)."""
     small_batches(df.sparkSession)
-    decoded = decode(encode(df, vocabulary, pattern, text), vocabulary)
-    return decoded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("ids", "decoded")
+    both = encode(df, vocabulary, pattern, text, decoded=True)
+    return both.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("ids", "decoded")
