@@ -15,7 +15,7 @@ from vecpack.llm.common import checkpointed
 from vecpack.llm.components import connected_components
 
 #: One-dimensional projections, of which each sorted list takes some.
-PROJECTIONS = 256
+PROJECTIONS = 512
 #: Rows of one cell that are compared in one piece; a larger cell is compared piece by piece.
 PIECE = 1024
 #: Cells of at least this many rows are compared by a matrix product.
@@ -29,8 +29,9 @@ class Plan:
     A list sorts the vectors by one projection within each cell, and cells are the sign patterns of
     ``bits`` other projections: sorted as a whole, a window that keeps its pairs would hold a constant share
     of all rows, and counting would be quadratic. A pair collides in a list if it shares the cell and lies
-    in a window of half-width ``window`` around either. Of a pair just at the threshold, a list sees it
-    with probability ``p``; ``lists`` are as many as make it collide ``count`` times with the wanted recall.
+    in a window of half-width ``window`` around either. ``lists`` are as many as make a pair that is just at
+    the threshold collide ``count`` times with the wanted recall: as the lists share their projections, that
+    is averaged over how many projections, of all, have the pair on one side.
     """
 
     bits: int
@@ -42,10 +43,21 @@ class Plan:
     def of(rows: int, threshold: float, recall: float, count: int = 2, z: float = 2.5) -> Plan:
         bits = min(50, max(6, math.ceil(math.log2(max(rows, 2))) + 1))
         side = 1 - math.acos(threshold) / math.pi
-        p = side**bits * math.erf(z / math.sqrt(2))
-        lists = count
-        while sum(math.comb(lists, k) * p**k * (1 - p) ** (lists - k) for k in range(count)) > 1 - recall:
-            lists += 1
+        agreeing = range(bits, PROJECTIONS + 1)
+        weights = [math.comb(PROJECTIONS, a) * side**a * (1 - side) ** (PROJECTIONS - a) for a in agreeing]
+        seen = [math.prod((a - k) / (PROJECTIONS - k) for k in range(bits)) * math.erf(z / math.sqrt(2)) for a in agreeing]
+
+        def missed(lists: int) -> float:
+            return 1 - sum(weights) + sum(w * sum(math.comb(lists, k) * p**k * (1 - p) ** (lists - k) for k in range(count)) for w, p in zip(weights, seen, strict=True))
+
+        most = count
+        while missed(most) > 1 - recall:
+            most *= 2
+        least = most // 2
+        while most - least > 1:
+            half = (least + most) // 2
+            least, most = (half, most) if missed(half) > 1 - recall else (least, half)
+        lists = most
         return Plan(bits, lists, count, z * math.sqrt(2 - 2 * threshold))
 
 
@@ -141,7 +153,8 @@ def _linked(x, cells, values, group, at, lo, hi, piece, plan: Plan, threshold: f
         small = small[(group[small] == group[small + offset]) & (own[small + offset] - own[small] <= plan.window)]
         if not len(small):
             break
-        check(small, small + offset)
+        across = (lo[small] == hi[small]) | (piece[small] != piece[small + offset])
+        check(small[across], small[across] + offset)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
@@ -215,7 +228,7 @@ def _valid(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.9995) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.999) -> DataFrame:
     """(key, n_links, component_id, kept) for each row of ``df``.
 
     Vectors of equal length are linked if their cosine, in double precision, is at least ``threshold``.
