@@ -64,7 +64,7 @@ def write_records(encoded: DataFrame, path: str, model: VectorModel) -> int:
 
     The format is one file, so the rows stream through the driver a partition at a time.
     """
-    rows = encoded.select("original_norm", "residual_norm", "codes", "signs").withColumn("seq", encoded["seq"]).orderBy("seq")
+    rows = encoded.select("seq", "original_norm", "residual_norm", "codes", "signs").orderBy("seq")
     count = 0
     with open(path, "wb") as out:
         out.write(header(0, model.dim, model.bits))
