@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from vecpack.model import TINY, VectorModel
 
 
+def let(value: Column | str, body) -> Column:
+    """``body`` of a value that is computed once: what a lambda merely closes over is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product, summed from the left in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -23,18 +28,17 @@ def l2_norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Direction of ``v``; zeros where the norm counts as zero."""
-    norm = l2_norm(v)
-    return F.transform(v, lambda x: F.when(norm > TINY, x / norm).otherwise(0.0))
+    return let(v, lambda w: let(l2_norm(w), lambda norm: F.transform(w, lambda x: F.when(norm > TINY, x / norm).otherwise(0.0))))
 
 
 def times(matrix: Column | str, v: Column | str) -> Column:
     """Matrix (array of rows) times vector."""
-    return F.transform(matrix, lambda row: dot(row, v))
+    return let(v, lambda w: F.transform(matrix, lambda row: dot(row, w)))
 
 
 def transposed_times(matrix: Column | str, v: Column | str, dim: int) -> Column:
     """Transposed matrix times vector, without storing the transpose."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: dot(F.transform(matrix, lambda row: F.get(row, i)), v))
+    return let(v, lambda w: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: dot(F.transform(matrix, lambda row: F.get(row, i)), w)))
 
 
 def lm_codes(rotated: Column | str, boundaries: Column | str) -> Column:
@@ -73,15 +77,18 @@ def packed_hex(codes: Column | str, bits: int, values: int) -> Column:
     """Upper-case hexadecimal text of the packed codes, lowest bit first."""
     size = -(-values * bits // 8)
 
-    def byte(k: Column) -> Column:
-        total = F.lit(0)
-        for j in range(8):
-            at = k * 8 + j
-            value = F.coalesce(F.get(codes, F.floor(at / bits).cast("int")), F.lit(0))
-            total = total + F.call_function("shiftright", value, (at % bits).cast("int")).bitwiseAND(1) * (1 << j)
-        return F.lpad(F.hex(total), 2, "0")
+    def byte(codes: Column):
+        def at(k: Column) -> Column:
+            total = F.lit(0)
+            for j in range(8):
+                place = k * 8 + j
+                value = F.coalesce(F.get(codes, F.floor(place / bits).cast("int")), F.lit(0))
+                total = total + F.call_function("shiftright", value, (place % bits).cast("int")).bitwiseAND(1) * (1 << j)
+            return F.lpad(F.hex(total), 2, "0")
+
+        return at
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), byte), "")
+    return let(codes, lambda codes: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), byte(codes)), ""))
 
 
 def hash_vector(text: Column, dim: int) -> Column:

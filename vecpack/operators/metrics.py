@@ -10,15 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecpack.functions import kernels
-from vecpack.functions.expressions import dot
+from vecpack.functions.expressions import dot, let
 from vecpack.model import VectorModel
 from vecpack.operators.arrow import matrix
 from vecpack.operators.codec import reconstruct
 
 
 def squared_error(a: Column, b: Column) -> Column:
-    d = F.zip_with(a, b, lambda x, y: x - y)
-    return dot(d, d) / F.size(a)
+    return let(F.zip_with(a, b, lambda x, y: x - y), lambda d: dot(d, d)) / F.size(a)
 
 
 def cosine(a: Column, b: Column) -> Column:
