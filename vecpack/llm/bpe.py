@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecpack.llm.common import small_batches, without
+from vecpack.llm.memory import give_back
 
 #: Characters of text after which a block of documents, and with it its word list, is closed.
 BLOCK_CHARS = 6_000_000
@@ -162,10 +163,13 @@ def _explode(pattern: str, text: int, buckets: int):
                     held.append(rest.slice(done, i + 1 - done))
                     yield from close()
                     numbers, held, sequences, chars, closed, done = {}, [], [], 0, closed + 1, i + 1
+                    give_back()
             if done < batch.num_rows:
                 held.append(rest.slice(done))
         if held:
             yield from close()
+        numbers, held, sequences = {}, [], []
+        give_back()
 
     return run
 
@@ -193,6 +197,8 @@ def _encode_words(vocabulary: str, pattern: str):
                     counts.append(len(made))
                 out.append(_pack(_short(np.array(counts, np.int64)), _short(np.array(ids, np.int64))))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.string()), pa.array(buckets, pa.int32()), pa.array(out, pa.binary())], names=["bpe_block", "bpe_bucket", "bpe_ids"])
+        known.clear()
+        give_back()
 
     return run
 
@@ -202,7 +208,13 @@ def _assemble(decoder: str | None):
 
     With the vocabulary ``decoder``, also with the bytes that the ids decode to.
     """
-    return lambda left, right: _assembled(left, right, decoder)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = _assembled(left, right, decoder)
+        give_back()
+        return made
+
+    return run
 
 
 def _assembled(left: pa.Table, right: pa.Table, decoder: str | None) -> pa.Table:

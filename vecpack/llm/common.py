@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from vecpack.llm.memory import give_back
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory, by Spark's own reader so that any store works."""
@@ -52,6 +54,7 @@ def with_python_columns(df: DataFrame, inputs: list[str], compute, fields: list[
             columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in inputs]
             made = [pa.array(v, t) for v, t in zip(compute(*columns), types, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns + made, names=batch.schema.names + [f.name for f in fields])
+        give_back()
 
     return kept.mapInArrow(run, schema)
 
