@@ -54,9 +54,10 @@ def query_rows(df: DataFrame) -> DataFrame:
     return df.where(EVERY).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def encoded(spark: SparkSession, sf_dir: str, model: VectorModel, scaled: bool = False) -> DataFrame:
-    """Codes without an index: a row's place is its id."""
-    return codec.encode(embeddings(spark, sf_dir, scaled), model).withColumn("seq", F.col("vec_id"))
+def encoded(spark: SparkSession, sf_dir: str, model: VectorModel, scaled: bool = False, where: str = "true") -> DataFrame:
+    """Codes without an index: a row's place is its id. Filters and unread columns end at the scan, below the codec."""
+    rows = embeddings(spark, sf_dir, scaled).where(where).select("vec_id", "embedding")
+    return codec.encode(rows, model).withColumn("seq", F.col("vec_id"))
 
 
 def r4(c, name: str):
@@ -181,7 +182,7 @@ def lm_codes(spark, sf_dir):
 
 @registered(lambda: " UNION ALL ".join(f"(WITH {O.encoded(lm(b))} SELECT vec_id, {b} AS bits, {O.packed('code', b, DIM)} AS codes FROM enc)" for b in (3, 4)))
 def lm_packed(spark, sf_dir):
-    return reduce(DataFrame.unionAll, [codec.encode(embeddings(spark, sf_dir), lm(b)).select("vec_id", F.lit(b).alias("bits"), F.hex("codes").alias("codes")) for b in (3, 4)])
+    return reduce(DataFrame.unionAll, [codec.encode(embeddings(spark, sf_dir).select("vec_id", "embedding"), lm(b)).select("vec_id", F.lit(b).alias("bits"), F.hex("codes").alias("codes")) for b in (3, 4)])
 
 
 @registered(lambda: f"WITH {O.encoded(lm(3), True)} SELECT vec_id, {O.packed('code', 3, DIM)} AS codes, {O.packed('sign', 1, DIM)} AS signs, {s4('norm', 'original_norm')}, {s4('residual', 'residual_norm')} FROM enc")
@@ -192,7 +193,7 @@ def encode_expressions(spark, sf_dir):
 
 @registered(lambda: f"WITH {O.encoded(lm(), True)} SELECT vec_id, {O.packed('code', 4, DIM)} AS codes, {O.packed('sign', 1, DIM)} AS signs, {s4('residual_f', 'residual_norm')}, {s4('norm_f', 'original_norm')} FROM enc")
 def encode_rows(spark, sf_dir):
-    rows = codec.encode(embeddings(spark, sf_dir, True), lm())
+    rows = codec.encode(embeddings(spark, sf_dir, True).select("vec_id", "embedding"), lm())
     return rows.select("vec_id", F.hex("codes").alias("codes"), F.hex("signs").alias("signs"), r4(F.col("residual_norm").cast("double"), "residual_norm"), r4(F.col("original_norm").cast("double"), "original_norm"))
 
 
@@ -244,7 +245,7 @@ def search_topk_batch(spark, sf_dir):
 
 @registered(lambda: f"{_scores(lm())} {_best('label = 3')}")
 def search_filtered(spark, sf_dir):
-    return _rounded(search.topk(encoded(spark, sf_dir, lm()).where("label = 3"), row_zero(spark, sf_dir), lm(), 10))
+    return _rounded(search.topk(encoded(spark, sf_dir, lm(), where="label = 3"), row_zero(spark, sf_dir), lm(), 10))
 
 
 @registered(lambda: f"{_scores(lm())} SELECT vec_id, label, {s4('score', 'score')} FROM scores ORDER BY scores.score DESC, vec_id LIMIT 10")
