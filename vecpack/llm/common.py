@@ -16,11 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+#: Rows in a file of a checkpoint whose size is known.
+ROWS_PER_FILE = 100_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with its lineage cut by files in the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a folder of our own is used.
+    Only where that setting is absent (tests on one machine) a folder of our own is used. ``rows`` is the
+    most rows there can be, if that is known: a small table then goes to a few files.
     """
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_PER_FILE + 1)
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,6 +11,9 @@ from vecpack.llm.common import checkpointed
 #: Benchmark terms up to this number are sent to all executors; more are joined by a shuffle.
 MAX_BROADCAST_TERMS = 200_000
 
+#: The bit of an exact occurrence, above those of the list terms.
+_EXACT = 1 << 30
+
 _UPPER = "".join(map(chr, range(0x41, 0x5B)))
 _SEPARATORS = "".join(chr(i) for i in [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)] if i != 0x20)
 
@@ -37,17 +40,17 @@ class PositionalIndex:
         items = benchmark.select(F.col(f"`{item}`").alias("item"), words(F.col(f"`{item_text}`")).alias("words")).where(F.size("words") > 0)
         starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
         cut = items.select("item", "words", F.explode(starts).alias("at")).select("item", F.slice("words", F.col("at"), size).alias("window"))
-        #: (item, phrase): which items have which windows.
-        self.of_item = checkpointed(cut.select("item", F.array_join("window", " ").alias("phrase"), "window").distinct())
-        windows = self.of_item.select("phrase", "window").distinct()
-        terms = windows.select("phrase", F.size("window").alias("length"), F.posexplode("window").alias("offset", "term"))
+        #: (row, item, phrase, window): which items have which windows.
+        self.of_item = checkpointed(cut.select(F.monotonically_increasing_id().alias("row"), "item", F.array_join("window", " ").alias("phrase"), "window"))
+        windows = self.of_item.groupBy("phrase", "window").agg(F.min("row").alias("wid"))
+        terms = windows.select("wid", "phrase", F.size("window").alias("length"), F.posexplode("window").alias("offset", "term"))
         vocabulary = terms.select("term").distinct()
         counted = self._meet(self.docs.select(F.explode("words").alias("term")), vocabulary).groupBy("term").count()
-        rarest = W.partitionBy("phrase").orderBy("count", "offset")
+        rarest = W.partitionBy("wid").orderBy("count", "offset")
         # A window with a term that no text has can't occur: the inner join leaves it short of terms.
-        known = terms.join(counted, "term").withColumn("rank", F.row_number().over(rarest) - 1).withColumn("found", F.count("*").over(W.partitionBy("phrase")))
-        #: (term, phrase, offset, rank, length, full): the list terms of each window, rarest first.
-        self.list_terms = checkpointed(known.where((F.col("found") == F.col("length")) & (F.col("rank") < lists)).select("term", "phrase", "offset", "rank", "length", (F.call_function("shiftleft", F.lit(1), F.least("length", F.lit(lists))) - 1).alias("full")))
+        known = terms.join(counted, "term").withColumn("rank", F.row_number().over(rarest) - 1).withColumn("found", F.count("*").over(W.partitionBy("wid")))
+        #: (term, wid, phrase, offset, rank, length, full): the list terms of each window, rarest first.
+        self.list_terms = checkpointed(rows=lists * windows.count(), df=known.where((F.col("found") == F.col("length")) & (F.col("rank") < lists)).select("term", "wid", "phrase", "offset", "rank", "length", (F.call_function("shiftleft", F.lit(1), F.least("length", F.lit(lists))) - 1).alias("full")))
         self.postings = self._store()
 
     @staticmethod
@@ -69,22 +72,34 @@ class PositionalIndex:
         return self.postings.where("term = ''").select("doc_key", "tag", "n_words")
 
     def _shifted(self) -> DataFrame:
-        """Postings shifted by their term's offset: the word at which the window would start."""
+        """(doc_key, tag, wid, start, bits): postings shifted by their term's offset, to where the window would start.
+
+        ``bits`` has the term's rank, and _EXACT where the words around the rarest term are the phrase.
+        """
         joined = self._meet(self.postings.where("term <> ''"), self.list_terms)
         start = F.col("pos") - F.col("offset")
-        rest = F.array_join(F.slice("around", start - F.col("first") + 1, F.col("length")), " ")
-        return joined.where(start >= 1).select("doc_key", "tag", "phrase", start.alias("start"), "length", "full", F.call_function("shiftleft", F.lit(1), F.col("rank")).alias("bit"), (F.col("rank") == 0).alias("is_rarest"), F.coalesce(rest == F.col("phrase"), F.lit(False)).alias("exact"))
+        there = F.array_join(F.slice("around", start - F.col("first") + 1, F.col("length")), " ") == F.col("phrase")
+        bit = F.call_function("shiftleft", F.lit(1), F.col("rank"))
+        return joined.where(start >= 1).select("doc_key", "tag", "wid", start.alias("start"), F.when(F.coalesce(there, F.lit(False)), bit.bitwiseOR(_EXACT)).otherwise(bit).alias("bits"), (F.col("rank") == 0).alias("is_rarest"))
+
+    def _whole(self, lists: DataFrame, bits: int = 0) -> DataFrame:
+        """``lists`` that have all of their window's bits (and ``bits``), with its phrase and length."""
+        windows = self.list_terms.select("wid", "phrase", "length", "full").distinct()
+        small = windows.count() <= MAX_BROADCAST_TERMS
+        wanted = F.col("full").bitwiseOR(bits)
+        return lists.join(F.broadcast(windows) if small else windows, "wid").where(F.col("bits").bitwiseAND(wanted) == wanted)
 
     def phrases(self) -> DataFrame:
         """(doc_key, tag, phrase, start, length): exact occurrences, from 1; repeated rows give them once."""
-        lists = self._shifted().where("exact OR NOT is_rarest").groupBy("doc_key", "tag", "phrase", "start", "length", "full").agg(F.bit_or("bit").alias("bits"), F.bool_or("exact").alias("exact"))
-        return lists.where("exact AND bits = full").select("doc_key", "tag", "phrase", "start", "length")
+        useful = self._shifted().where(~F.col("is_rarest") | (F.col("bits") >= _EXACT))
+        lists = useful.groupBy("doc_key", "tag", "wid", "start").agg(F.bit_or("bits").alias("bits"))
+        return self._whole(lists, _EXACT).select("doc_key", "tag", "phrase", "start", "length")
 
     def proximity(self, slop: int) -> DataFrame:
         """(doc_key, tag, phrase, start): the list terms, each shifted, lie within ``slop`` words of the rarest."""
-        near = W.partitionBy("doc_key", "tag", "phrase").orderBy("start").rangeBetween(-slop, slop)
-        lists = self._shifted().withColumn("bits", F.bit_or("bit").over(near))
-        return lists.where("is_rarest AND bits = full").select("doc_key", "tag", "phrase", "start").distinct()
+        near = W.partitionBy("doc_key", "tag", "wid").orderBy("start").rangeBetween(-slop, slop)
+        lists = self._shifted().withColumn("bits", F.bit_or("bits").over(near)).where("is_rarest")
+        return self._whole(lists).select("doc_key", "tag", "phrase", "start").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, share: int = 20) -> DataFrame:
@@ -96,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     apart by ``tag``, the text's hash, and repeated rows come back each time. Other columns aren't used.
     """
     index = PositionalIndex(docs, benchmark, key, text, item, item_text, size)
-    found = checkpointed(index.phrases())
+    found = index.phrases()
     doc = ["doc_key", "tag"]
     before = W.partitionBy(*doc).orderBy("start", "length").rowsBetween(W.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
