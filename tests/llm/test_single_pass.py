@@ -110,6 +110,12 @@ def test_article_without_the_element():
     assert got[0] == "Title" and len(got) == 7
 
 
+def test_headline_beside_the_container():
+    body = "".join(f"<p>Sentence {i}, with commas, and quite some text so that it scores as a paragraph.</p>" for i in range(6))
+    page = f"<body><div class=topnav><a href=/>Home</a></div><div id=wrap><h1>Title</h1><div class=entry>{body}</div><div class=commentbox><p>Nice, really.</p></div></div><div class=sitefooter>Imprint</div></body>"
+    assert html_extract.extract(page).split("\n")[0] == "Title" and len(html_extract.extract(page).split("\n")) == 7
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<!--", "<script>", "<html><body></body></html>", "<nav><p>only a menu</p></nav><script>x</script>"])
 def test_pages_without_an_article(page):
     assert html_extract.extract(page) in ("", "only a menu", "<")

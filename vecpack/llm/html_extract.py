@@ -26,9 +26,11 @@ BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"
 BOILER_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "outbrain", "taboola", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "alertbar", "disclaimer",
     "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "crumbs", "sidebar", "aside", "complementary", "rail", "footer", "contentinfo", "copyright", "comment", "comments", "commentlist", "disqus", "replies", "respond", "discussion",
-    "share", "sharing", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "widget", "widgets", "pagination", "pager", "toolbar", "search", "form", "tags", "hidden",
+    "share", "sharing", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription", "signup", "login", "warning", "announcement", "notification", "popup", "modal", "overlay", "widget", "widgets", "pagination", "pager", "toolbar", "search", "form", "tags", "hidden",
 }
-HEADER_WORDS = {"header", "masthead", "topbar"}
+#: The same as a part of a longer word.
+_BOILER_PART = re.compile(r"^(?:nav|menu|footer|sidebar|advert|adsense|adslot|adunit|sponsor|cookie|promo|breadcrumb|newsletter|comments?(?!ary))|(?:nav|menu|footer|sidebar|banner|comments|widget)$")
+HEADER_WORDS = {"header", "masthead", "topbar", "siteheader", "pageheader"}
 GOOD_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text", "page"}
 #: An open paragraph ends where one of these begins.
 ENDS_P = BLOCK - {"caption", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
@@ -54,7 +56,7 @@ class Node:
                     if parts[0] not in ("has", "with", "no", "is"):
                         words.update(parts)
             if tag not in ("html", "body", "article", "main"):
-                self.boiler |= bool(words & BOILER_WORDS) or bool(_HIDDEN.search(attrs))
+                self.boiler |= bool(words & BOILER_WORDS) or any(map(_BOILER_PART.search, words)) or bool(_HIDDEN.search(attrs))
                 if words & HEADER_WORDS and not self._in_article():
                     self.boiler = True
             if words & GOOD_WORDS:
@@ -204,13 +206,15 @@ def extract(html: str | None) -> str:
         top = best.score * (1 - _density(best))
         parts = [best]
         if best.parent is not None:
-            parts = []
+            parts, before = [], True
             for x in best.parent.items:
                 if not isinstance(x, Node) or prune and x.boiler:
                     continue
                 good = x.score * (1 - _density(x))
                 paragraph = x.tag in ("p", "blockquote", "pre") and x.chars > 80 and _density(x) < 0.25
-                if x is best or x.tag != "header" and (good >= max(10, 0.2 * top) and x.tag not in ("ul", "ol") and best.tag not in ("article", "main") or x.tag == best.tag == "article" and x.chars or paragraph and best.tag not in ("article", "main")):
+                before &= x is not best
+                headline = before and x.tag in ("h1", "h2") and _density(x) < 0.25
+                if x is best or headline or x.tag != "header" and (good >= max(10, 0.2 * top) and x.tag not in ("ul", "ol") and best.tag not in ("article", "main") or x.tag == best.tag == "article" and x.chars or paragraph and best.tag not in ("article", "main")):
                     parts.append(x)
         if text := "\n".join(b for x in parts for b in _blocks(x, prune)):
             return text
