@@ -153,7 +153,7 @@ def host_priors(scored: DataFrame, domain: str, host: str, languages: int) -> Da
     return joined.select(domain, host, F.array(*shares).alias("lid_prior"))
 
 
-def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, code: Column, domain: Column, host: Column) -> DataFrame:
+def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, code: Column, domain: Column, host: Column, places: DataFrame | None = None) -> DataFrame:
     """``df`` with lid_lang, lid_score (its probability) and lid_kept.
 
     The probability of a language is in proportion to text, declaration and address likelihoods and the
@@ -164,6 +164,7 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, co
 
     The texts are scored twice, for the priors and for the result, and never shuffled: priors of up to
     MAX_BROADCAST_HOSTS hosts, which are counted, are broadcast; of more, they meet the rows in a join.
+    ``places`` are the domains and hosts of the rows, where there is a cheaper way to them than by ``df``.
     """
     made = ["lid_logs", "lid_known", "lid_own", "lid_prior", "lid_domain", "lid_host", "lid_lang", "lid_score", "lid_kept", "lid_text", "lid_declared", "lid_code", "lid_all"]
     named = without(df, made).withColumns({"lid_domain": F.coalesce(domain, F.lit("")), "lid_host": F.coalesce(host, F.lit(""))})
@@ -172,7 +173,7 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, co
     scored = evidence(named, model, text, declared, code)
     with_own = scored.withColumn("lid_own", _normal(F.col("lid_logs")))
     priors = host_priors(with_own.where("lid_known > 0").select("lid_domain", "lid_host", "lid_own"), "lid_domain", "lid_host", len(model.languages))
-    few = named.select("lid_domain", "lid_host").distinct().count() <= MAX_BROADCAST_HOSTS
+    few = (named.select("lid_domain", "lid_host") if places is None else places).distinct().count() <= MAX_BROADCAST_HOSTS
     joined = scored.join(F.broadcast(priors) if few else priors, ["lid_domain", "lid_host"], "left")
     flat = F.array(*[F.lit(1.0 / len(model.languages))] * len(model.languages))
     fused = F.zip_with("lid_logs", F.coalesce("lid_prior", flat), lambda x, p: x + F.ln(p))
@@ -199,5 +200,6 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
         return [texts, [declared_language(h) for h in html], *map(list, zip(*parts, strict=True))] if parts else [[]] * 5
 
     names = ["page_text", "page_declared", "page_host", "page_domain", "page_code"]
+    places = with_python_columns(pages.select("url"), ["url"], lambda urls: list(map(list, zip(*(address(u)[:2] for u in urls), strict=True))) if urls else [[], []], [T.StructField(n, T.StringType()) for n in names[2:4]]).drop("url")
     read = with_python_columns(without(pages, names), ["html", "url"], compute, [T.StructField(n, T.StringType()) for n in names]).drop("html")
-    return identify(read, model, *(F.col(n) for n in ("page_text", "page_declared", "page_code", "page_domain", "page_host"))).drop(*names)
+    return identify(read, model, *(F.col(n) for n in ("page_text", "page_declared", "page_code", "page_domain", "page_host")), places=places).drop(*names)
