@@ -21,13 +21,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     rest = checkpointed(_edges(edges.where("src IS NOT NULL AND dst IS NOT NULL"), F.col("src"), F.col("dst")))
     rounds: list[DataFrame] = []
-    while not rest.isEmpty():
+    while n := rest.count():
         seed = F.lit(len(rounds))
         both = rest.select("a", "b").union(rest.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min_by("v", F.xxhash64("v", seed)).alias("v"))
-        to = checkpointed(least.select("u", F.when(F.xxhash64("u", seed) <= F.xxhash64("v", seed), F.col("u")).otherwise(F.col("v")).alias("p")))
+        to = checkpointed(least.select("u", F.when(F.xxhash64("u", seed) <= F.xxhash64("v", seed), F.col("u")).otherwise(F.col("v")).alias("p")), rows=2 * n)
         left = rest.join(to.toDF("a", "pa"), "a").select("pa", "b")
-        rest = checkpointed(_edges(left.join(to.toDF("b", "pb"), "b"), F.col("pa"), F.col("pb")))
+        rest = checkpointed(_edges(left.join(to.toDF("b", "pb"), "b"), F.col("pa"), F.col("pb")), rows=n)
         rounds.append(to)
     if not rounds:
         return rest.select(F.col("a").alias("node"), F.col("b").alias("root"))
