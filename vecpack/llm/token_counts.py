@@ -12,7 +12,7 @@ from vecpack.llm.common import with_python_columns
 
 SPACE = "▁"
 #: Pre-tokens whose counts a Python worker remembers between batches; then it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class Unigram:
@@ -24,7 +24,10 @@ class Unigram:
     def __init__(self, pieces: list[str]):
         total = math.log(sum(1 / (i + 1) for i in range(len(pieces))))
         self.scores = {p: -math.log(i + 1) - total for i, p in reversed(list(enumerate(pieces)))}
-        self.longest = max(map(len, pieces), default=1)
+        #: Lengths of the pieces of two characters or more, by their last two.
+        self.lengths: dict[str, list[int]] = {}
+        for end, size in sorted({(p[-2:], len(p)) for p in pieces if len(p) > 1}):
+            self.lengths.setdefault(end, []).append(size)
         self.penalty = -math.log(len(pieces) + 1) - total - 10
 
     @staticmethod
@@ -35,38 +38,43 @@ class Unigram:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return Unigram([model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))])
 
-    def step(self, word: str, i: int, best: list[float], tokens: list[int]) -> None:
-        """Append the forward score and token count of ``word[:i]``, given those of all shorter prefixes.
-
-        The higher score wins; of equal scores, the fewer tokens.
-        """
-        size = len(word[i - 1].encode())
-        top, count = best[i - 1] + size * self.penalty, tokens[i - 1] + size
-        for j in range(max(0, i - self.longest), i):
-            if (s := self.scores.get(word[j:i])) is not None:
-                s += best[j]
-                if s > top or s == top and tokens[j] + 1 < count:
-                    top, count = s, tokens[j] + 1
-        best.append(top)
-        tokens.append(count)
-
     def count_all(self, words: list[str]) -> dict[str, int]:
-        """Token count of each distinct word.
+        """Token count of each distinct word's best segmentation: of equal scores, the one of fewest tokens.
 
-        Sorted words are the leaves of their trie in depth-first order: the scores on the path that a word
-        shares with the one before it stay, only the new branch is computed, and its end is the count.
+        Sorted words are the leaves of their trie in depth-first order: the forward scores on the path that
+        a word shares with the one before it stay, only the new branch is computed, from the scores of all
+        shorter prefixes, and the count at its end is kept.
         """
         counts: dict[str, int] = {}
         best, tokens, before = [0.0], [0], ""
+        scores, lengths, penalty = self.scores, self.lengths, self.penalty
         for word in sorted(words):
-            shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                self.step(word, i, best, tokens)
+            n = len(word)
+            if word.startswith(before):
+                shared = len(before)
+            else:
+                shared = 0
+                for a, b in zip(before, word, strict=False):
+                    if a != b:
+                        break
+                    shared += 1
+                del best[shared + 1 :], tokens[shared + 1 :]
+            for i in range(shared, n):  # word[i] ends the prefix
+                c = word[i]
+                size = 1 if c < "\x80" else len(c.encode())
+                top, count = best[i] + size * penalty, tokens[i] + size
+                if (s := scores.get(c)) is not None and (s := s + best[i]) >= top:
+                    top, count = s, (tokens[i] + 1 if s > top else min(count, tokens[i] + 1))
+                for length in lengths.get(word[i - 1 : i + 1], ()) if i else ():
+                    j = i + 1 - length
+                    if j < 0:
+                        break
+                    if (s := scores.get(word[j : i + 1])) is not None:
+                        s += best[j]
+                        if s > top or s == top and tokens[j] + 1 < count:
+                            top, count = s, tokens[j] + 1
+                best.append(top)
+                tokens.append(count)
             counts[word], before = tokens[-1], word
         return counts
 
