@@ -32,7 +32,7 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     source = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = df.select(F.col(f"`{key}`").alias("doc_key"), F.xxhash64(source).alias("tag"), F.posexplode(F.split(source, "\n")).alias("pos", "line"))
     plain = _plain(F.col("line"))
-    counted = lines.select("doc_key", "tag", "pos", F.md5(plain).alias("h"), F.size(F.array_remove(F.split(plain, " "), "")).cast("long").alias("n")).where("n > 0")
+    counted = lines.select("doc_key", "tag", "pos", F.unhex(F.md5(plain)).alias("h"), F.size(F.array_remove(F.split(plain, " "), "")).cast("long").alias("n")).where("n > 0")
     doc = ["doc_key", "tag"]
     one = counted.repartition(*doc).distinct()
     before = W.partitionBy(*doc).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
@@ -43,7 +43,7 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     def span(frame) -> Column:
         """The run's digest, of enough words; its ends."""
         enough = F.sum("n").over(frame) >= least
-        return F.when(enough, F.struct(F.md5(F.concat_ws("", F.collect_list("h").over(frame))).alias("gram"), F.min("pos").over(frame).alias("a"), F.max("pos").over(frame).alias("b")))
+        return F.when(enough, F.struct(F.unhex(F.md5(F.concat_ws("", F.transform(F.collect_list("h").over(frame), F.hex)))).alias("gram"), F.min("pos").over(frame).alias("a"), F.max("pos").over(frame).alias("b")))
 
     spans = placed.select(*doc, F.when(F.sum("n").over(ahead) >= least, F.min(F.struct("h", "pos")).over(ahead)).alias("fp"), span(ahead).alias("ahead"), span(back).alias("back"))
     grams = checkpointed(spans.where("ahead IS NOT NULL OR back IS NOT NULL"))
