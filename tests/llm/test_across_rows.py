@@ -170,7 +170,7 @@ def test_links_against_brute_force(spark):
 def test_near_duplicate_frame(spark):
     rows = [(5, "a b c d"), (3, "A b\tc  d"), (4, None), (9, ""), (9, ""), (None, " \n"), (None, "x y"), (None, "x y"), (1, "q")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, FP string")
-    got = sorted(repr(tuple(r)) for r in simhash.near_duplicates(df).collect())
+    got = sorted(repr(tuple(r)) for r in simhash.near_duplicates(df).drop("tag", "group").collect())
     least = {0: 4, plain_fingerprint("a b c d"): 3, plain_fingerprint("x y"): None, plain_fingerprint("q"): 1}
     assert got == sorted(repr((i, f"{plain_fingerprint(t):016x}", least[plain_fingerprint(t)])) for i, t in rows)
     assert simhash.near_duplicates(df.limit(0)).count() == 0

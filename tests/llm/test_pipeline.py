@@ -66,6 +66,14 @@ def test_awkward_documents(spark, tmp_path):
         assert (left.count() > 0) == (n > 0)
 
 
+def test_one_of_each_group_stays(spark):
+    """Also of groups without ids, of rows that share an id, and of repeated rows."""
+    rows = [(1, "a b c"), (1, "a b c"), (1, "A B C"), (1, "other words here"), (None, "x y z"), (None, "x y z"), (None, "p q r"), (2, "p q r"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in corpus_pipeline.dedup_near(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, "a b c"), (1, "other words here"), (None, "x y z"), (2, "p q r"), (3, "")], key=repr)
+
+
 def test_registered(spark):
     import __spark_entry__
 

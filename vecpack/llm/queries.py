@@ -48,7 +48,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tag", "group")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

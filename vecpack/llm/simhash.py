@@ -150,17 +150,19 @@ def links(fps: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 2, words: int = 3, blocks: int = 2) -> DataFrame:
-    """(key, fingerprint, component_id) for each row of ``df``.
+    """(key, fingerprint, component_id, tag, group) for each row of ``df``.
 
     Rows whose fingerprints differ in at most ``threshold`` bits are linked; component_id is the smallest
-    key that a chain of links reaches, the row's own included. Null and empty texts have the fingerprint
+    key that a chain of links reaches, the row's own included; ``group`` is the same for the same rows, but
+    never null, and ``tag`` is the text's hash, to tell rows of equal keys apart. Null and empty texts have the fingerprint
     zero and are linked by it like any other; rows with a null key are linked but never name a component
     (null if it has no other row). Repeated rows come back each time. Copies collapse to one fingerprint
     before anything is compared; an empty table gives an empty one; other columns are not used.
     """
-    slim = checkpointed(fingerprints(df.select(F.col(f"`{key}`").alias("doc_key"), F.col(f"`{text}`").alias("doc_text")), "doc_text", words).select("doc_key", "fp"))
+    read = df.select(F.col(f"`{key}`").alias("doc_key"), F.col(f"`{text}`").alias("doc_text")).withColumn("tag", F.xxhash64("doc_text"))
+    slim = checkpointed(fingerprints(read, "doc_text", words).select("doc_key", "tag", "fp"))
     classes = checkpointed(slim.groupBy("fp").agg(F.min("doc_key").alias("least")))
     roots = connected_components(links(classes.select("fp"), threshold, blocks)).toDF("fp", "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return slim.join(named, "fp").select(F.col("doc_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return slim.join(named, "fp").select(F.col("doc_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "tag", F.col("root").alias("group"))
