@@ -1,6 +1,7 @@
 """Operators that look at one row at a time: URL rules, secrets, HTML and token counts."""
 
 import hashlib
+import random
 import re
 from pathlib import Path
 
@@ -79,6 +80,16 @@ def test_efficiency_tells_keys_from_words(encode):
     assert base == spans and len(base) == 1
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+@pytest.mark.parametrize("size", [20, 24, 32])
+def test_random_keys_that_pack_badly_are_found(encode, alphabet, size):
+    rng = random.Random(size)
+    keys = ["".join(rng.choices(alphabet, k=size)) for _ in range(300)]
+    bad = [k for k in keys if size <= 2.0 * len(encode(k))]
+    assert len(bad) >= 250
+    assert sum(bool(secrets.packed_spans(k, encode, 2.0)) for k in bad) >= 0.99 * len(bad)
+
+
 def test_secret_frame(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "passwd=abcdef"), (3, "passwd=abcdef")], "doc_id long, text string")
     got = secrets.find_secrets(df, RANKS, PATTERN).collect()

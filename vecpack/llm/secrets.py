@@ -25,8 +25,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
-#: Words joined by case, underscore, hyphen or slash, each with a number at most after it.
-IDENTIFIER = re.compile(r"[_/+=-]*(?:[A-Z]?[a-z]{2,}\d{0,4}|[A-Z]{2,}\d{0,4}|\d{1,4})(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}\d{0,4}|[A-Z]{2,}(?![a-z])\d{0,4})|[_/+=-]+\d{1,4})*[_/+=-]*")
+#: Parts of a run: words by case, numbers; a linear scan, with no choice to come back to.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+SEPARATOR = re.compile(r"[_/+=-]+")
 
 
 @lru_cache(2)
@@ -50,19 +51,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def is_known(run: str) -> bool:
-    """Digests, UUIDs, plain words and identifiers are no secrets, however badly they pack."""
+def is_identifier(run: str, encode, ratio: float) -> bool:
+    """Words joined by separators or a change of case, each with a number of up to four digits at most after it.
+
+    The words, by themselves, must pack well into tokens: more than ``ratio`` characters each. One linear scan.
+    """
+    words = []
+    for piece in SEPARATOR.split(run):
+        parts = PART.findall(piece)
+        if not parts:
+            continue
+        for before, part in zip(["", *parts], parts, strict=False):
+            if part.isdigit():
+                if len(part) > 4:
+                    return False
+            elif before.isdigit() and not (part[0].isupper() and part[-1].islower()):
+                return False
+            else:
+                words.append(part)
+    if len(words) < 2 or any(len(w) < 2 for w in words):
+        return False
+    return sum(map(len, words)) > ratio * sum(len(encode(w.lower())) for w in words)
+
+
+def is_known(run: str, encode, ratio: float) -> bool:
+    """Numbers, whole digests, UUIDs and identifiers of words that pack well are no secrets, however badly the run packs."""
     body = run.strip("=-_/+")
-    if not re.search(r"\d", body) or not re.search(r"[A-Za-z]", body):
+    if re.fullmatch(r"[0-9_/+=-]*", body):
         return True
     if len(body) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
         return True
-    return bool(UUID.fullmatch(body) or IDENTIFIER.fullmatch(run))
+    return bool(UUID.fullmatch(body)) or is_identifier(run, encode, ratio)
 
 
 def packed_spans(text: str, encode, ratio: float) -> list[tuple[int, int, int]]:
     """Candidate runs with at most ``ratio`` characters a token that aren't known to be harmless."""
-    return [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if not is_known(m[0]) and len(m[0]) <= ratio * len(encode(m[0]))]
+    return [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if len(m[0]) <= ratio * len(encode(m[0])) and not is_known(m[0], encode, ratio)]
 
 
 def scan(text: str | None, encode, ratio: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
