@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import public_tokenizers
@@ -90,6 +91,13 @@ def test_random_keys_that_pack_badly_are_found(encode, alphabet, size):
     assert sum(bool(secrets.packed_spans(k, encode, 2.0)) for k in bad) >= 0.99 * len(bad)
 
 
+def test_runs_that_almost_are_identifiers_end(encode):
+    for run in ("A" * 10_000 + "1B_a", "/articles/technology/software/engineering" * 250 + "/v-2024", "Ab" * 5000 + "1b", "a1" * 5000):
+        begun = time.monotonic()
+        secrets.is_known(run, encode, 2.0)
+        assert time.monotonic() - begun < 2
+
+
 def test_secret_frame(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "passwd=abcdef"), (3, "passwd=abcdef")], "doc_id long, text string")
     got = secrets.find_secrets(df, RANKS, PATTERN).collect()
