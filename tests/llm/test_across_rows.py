@@ -318,6 +318,17 @@ def model(spark):
     return language_id.fit(spark.createDataFrame([(i, f"{t} {i}", k) for i in range(20) for k, t in texts.items()], "doc_id long, text string, lang string"))
 
 
+def test_rare_labels_have_a_class(spark):
+    """Also where the sample of all rows has none of them, and where a label is one key many times."""
+    common = [(i, f"the cat and the dog {i}", "en") for i in range(3000)]
+    rare = [(10_000 + i, "der hund und die katze mit einem anderen ding", "de") for i in range(3)] + [(20_000, "le chat et le chien", "fr")] * 50
+    labelled = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    assert language_id.fit(labelled, rows=20, label_rows=10).languages == ["de", "en", "fr"]
+    hashed = labelled.selectExpr("lang AS label", "doc_id AS key", "xxhash64(doc_id) AS h").distinct()
+    of_en = [r[0] for r in hashed.where("label = 'en'").orderBy("h").limit(10).select("key").collect()]
+    assert sorted(language_id._least_of_each(hashed, 10)) == sorted(of_en + [10_000, 10_001, 10_002, 20_000])
+
+
 def test_awkward_texts(spark, model):
     rows = [(1, None, "en", "a"), (2, "", None, None), (3, "1234 !!", "en", "a"), (4, "the dog and that cat", None, None), (4, "the dog and that cat", None, None), (5, "дом и кот", "en", "a"), (None, "die katze und der hund " * 9000, "en", "b")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, LID_KEPT int")

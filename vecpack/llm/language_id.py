@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from vecpack.llm.common import with_python_columns, without
 
-#: Labelled rows from which the text model is fitted, at most; the rows of least key hash are taken.
-SAMPLE_ROWS = 2000
+#: Labelled rows from which the text model is fitted: those of least key hash of all, and of each label.
+SAMPLE_ROWS, LABEL_ROWS = 2000, 500
 #: Hosts whose counts are broadcast, at most; beyond, they are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 100_000
 #: Slots of the table of byte trigrams.
@@ -68,14 +68,32 @@ class TextModel:
         return (total * (min(len(slots), MOST_EVIDENCE) / len(slots))).tolist(), float(self.seen[slots, best].mean())
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> TextModel:
-    """A model from at most ``rows`` rows with a text and a label: those whose keys have the least hashes.
+def _least_of_each(hashed: DataFrame, rows: int) -> list:
+    """Keys of (label, key, h), distinct, with the ``rows`` least hashes of each label; no label is gathered in a task.
 
-    The sample's keys (bounded by ``rows``) go to the driver, and so do the counts, one table a language.
+    Hashes are even, so some twice as many as are wanted lie below a bound that follows from the label's count.
+    """
+    enough = 2 * rows + 64
+    sizes = hashed.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    share = (F.lit(-(2.0**63)) + F.lit(2.0**64) * (enough / F.col("n"))).cast("long")
+    bounds = sizes.select("label", F.when(F.col("n") <= enough, F.lit(2**63 - 1)).otherwise(F.greatest("least", share)).alias("bound"))
+    by_label: dict[str, list] = {}
+    for label, key, h in hashed.join(F.broadcast(bounds), "label").where("h <= bound").select("label", "key", "h").collect():
+        by_label.setdefault(label, []).append((h, key))
+    return [key for found in by_label.values() for _, key in sorted(found)[:rows]]
+
+
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, label_rows: int = LABEL_ROWS) -> TextModel:
+    """A model from rows with a text and a label whose keys have the least hashes: ``rows`` of all, ``label_rows`` of each label.
+
+    So every label has a class, however rare. The sample's keys (bounded by ``rows`` and ``label_rows`` times the
+    labels) go to the driver, and so do the counts, one table a language.
     """
     good = labelled.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(text).isNotNull())
-    keys = [r[0] for r in good.select(key, F.xxhash64(key).alias("h")).distinct().orderBy("h", key).limit(rows).collect()]
-    sample = good.where(F.col(key).isin(keys)).select(F.col(label).alias("label"), F.col(text).alias("text")) if keys else good.limit(0).select(F.lit("").alias("label"), F.lit("").alias("text"))
+    hashed = good.select(F.col(label).alias("label"), F.col(key).alias("key"), F.xxhash64(key).alias("h")).distinct()
+    keys = {r[0] for r in hashed.select("key", "h").distinct().orderBy("h", "key").limit(rows).collect()} | set(_least_of_each(hashed, label_rows))
+    wanted = labelled.sparkSession.createDataFrame([(k,) for k in sorted(keys)], T.StructType([T.StructField(key, labelled.schema[key].dataType)]))
+    sample = good.join(F.broadcast(wanted), key, "left_semi").select(F.col(label).alias("label"), F.col(text).alias("text"))
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
