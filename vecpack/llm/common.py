@@ -6,6 +6,7 @@ import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecpack.llm.memory import give_back
@@ -18,6 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows in a file of a checkpoint whose size is known.
 ROWS_PER_FILE = 100_000
+#: Bytes of the largest table that a join may broadcast; its rows are counted first.
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -47,24 +50,42 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
-def with_python_columns(df: DataFrame, inputs: list[str], compute, fields: list[T.StructField]) -> DataFrame:
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind as it takes for no column of ``df`` to be named so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def hinted(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
+    """``df``, whose rows have been counted, to be broadcast in a join if it is small enough, by its bytes."""
+    return F.broadcast(df) if rows * bytes_a_row <= MAX_BROADCAST_BYTES else df
+
+
+def with_python_columns(df: DataFrame, inputs: list[str], compute, fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
     """Append ``fields``, computed from the columns ``inputs`` by ``compute(*lists) -> lists``, batch by batch.
 
     ``compute`` gets one Python list for each input and returns one list for each field. Columns of ``df``
-    that are named like a new field are replaced.
+    that are named like a new field are replaced. Those in ``drop`` go to the worker and don't come back.
     """
     kept = without(df, [f.name for f in fields if f.name not in inputs])
-    schema = T.StructType(list(kept.schema.fields) + fields)
+    back = [f for f in kept.schema.fields if f.name not in {*drop, *(x.name for x in fields)}]
     types = [_arrow(f.dataType) for f in fields]
+    names = [f.name for f in back]
 
     def run(batches):
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in inputs]
             made = [pa.array(v, t) for v, t in zip(compute(*columns), types, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns + made, names=batch.schema.names + [f.name for f in fields])
+            del columns
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + made, names=names + [f.name for f in fields])
         give_back()
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, T.StructType(back + fields))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
