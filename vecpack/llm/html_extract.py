@@ -14,7 +14,7 @@ _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video", "select", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -22,64 +22,100 @@ BLOCK = {
 }
 #: Elements that never hold the article's own text.
 BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset", "button"}
-#: Words of class, id and role that mark such parts.
+#: Words of class, id and role that mark such parts; text of their own can overrule them.
 BOILER_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "outbrain", "taboola", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "alertbar", "disclaimer",
     "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "crumbs", "sidebar", "aside", "complementary", "rail", "footer", "contentinfo", "copyright", "comment", "comments", "commentlist", "disqus", "replies", "respond", "discussion",
     "share", "sharing", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription", "signup", "login", "warning", "announcement", "notification", "popup", "modal", "overlay", "widget", "widgets", "pagination", "pager", "toolbar", "search", "form", "tags", "hidden",
 }
 #: The same as a part of a longer word.
-_BOILER_PART = re.compile(r"^(?:nav|menu|footer|sidebar|advert|adsense|adslot|adunit|sponsor|cookie|promo|breadcrumb|newsletter|comments?(?!ary))|(?:nav|menu|footer|sidebar|banner|comments|widget)$")
+_BOILER_PART = re.compile(r"^(?:nav|menu|footer|sidebar|advert|adsense|adslot|adunit|sponsor|cookie|promo|breadcrumb|newsletter)|(?:nav|menu|footer|sidebar|banner|widget)$")
+_READER_PART = re.compile(r"^comments?(?!ary)|comments$")
+#: Those that mark what readers wrote: only a page that is nothing else can overrule them.
+READER_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "respond", "discussion"}
 HEADER_WORDS = {"header", "masthead", "topbar", "siteheader", "pageheader"}
 GOOD_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text", "page"}
+#: Whole names of an article's container, beside which parts of other names say what the article is about.
+CONTAINERS = {"article", "story", "post", "hentry", "entry", "h-entry", "entry-content", "post-content", "post-body", "article-body", "article-content", "story-body", "content", "main", "main-content", "page-content"}
+#: The first part of a name whose rest is a subject.
+SUBJECTS = {"category", "cat", "tag", "topic", "tax", "term", "label", "keyword"}
+#: Shares of the page's unlinked text beyond which a marked part is kept, and the most link density that it may have.
+OVERRULES, READERS_OVERRULE, MOST_LINKED = 0.5, 0.9, 0.33
 #: An open paragraph ends where one of these begins.
 ENDS_P = BLOCK - {"caption", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
 #: Elements whose like ends the one that is still open, up to the container.
 ENDS_OWN = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+CONTAINERS_OF = set().union(*ENDS_OWN.values())
 FRAME = {"article", "main", "section", "div", "td", "table", "body"}
+#: Where an element ends whose content isn't read.
+_END = {tag: re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "boiler", "weight", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "boiler", "marked", "inside", "paragraph", "own", "weight", "score", "near", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent = tag, parent
         self.items: list = []  # Nodes and (text, linked) in page order
-        self.boiler, self.weight = tag in BOILER, 0.0
-        self.score = 0.0
+        #: Whether an article or main element is around it; the open paragraph; the open items that one of their kind would end.
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.paragraph: Node | None = self if tag == "p" else None if tag in FRAME or parent is None else parent.paragraph
+        self.own: dict[str, Node] = {} if parent is None else parent.own
+        if tag in ENDS_OWN or tag in CONTAINERS_OF:
+            self.own = {k: v for k, v in self.own.items() if tag not in ENDS_OWN[k]}
+            if tag in ENDS_OWN:
+                self.own[tag] = self
+        self.boiler = tag in BOILER or tag == "header" and not self.inside
+        self.weight, self.score, self.near = 0.0, 0.0, 0.0
         self.chars = self.linked = 0
+        #: The share of the page's text that keeps it, if names mark it; else 0.
+        self.marked = 0.0
         if attrs:
-            words: set[str] = set()
-            for _, a, b, c in _NAMES.findall(attrs):
-                for name in (a or b or c).lower().split():
-                    parts = re.split(r"[-_:]+", name)
-                    if parts[0] not in ("has", "with", "no", "is"):
-                        words.update(parts)
-            if tag not in ("html", "body", "article", "main"):
-                self.boiler |= bool(words & BOILER_WORDS) or any(map(_BOILER_PART.search, words)) or bool(_HIDDEN.search(attrs))
-                if words & HEADER_WORDS and not self._in_article():
-                    self.boiler = True
-            if words & GOOD_WORDS:
-                self.weight += 5
-        if tag == "header" and not self._in_article():
-            self.boiler = True
+            self._look(attrs)
         if tag in ("article", "main"):
             self.weight += 25
 
-    def _in_article(self) -> bool:
-        at = self.parent
-        while at is not None:
-            if at.tag in ("article", "main"):
-                return True
-            at = at.parent
-        return False
+    def _look(self, attrs: str) -> None:
+        names, words = set(), set()
+        for _, a, b, c in _NAMES.findall(attrs):
+            for name in (a or b or c).lower().split():
+                parts = re.split(r"[-_:]+", name)
+                names.add(name)
+                if parts[0] not in ("has", "with", "no", "is") and not (parts[0] in SUBJECTS and len(parts) > 1):
+                    words.update(parts)
+        if words & GOOD_WORDS:
+            self.weight += 5
+        if self.tag in ("html", "body", "article", "main"):
+            return
+        if _HIDDEN.search(attrs):
+            self.boiler = True
+        of_article = bool(names & CONTAINERS)
+        told = names if of_article else words
+        if told & READER_WORDS or not of_article and any(map(_READER_PART.search, words)):
+            self.marked = READERS_OVERRULE
+        elif told & BOILER_WORDS or not of_article and any(map(_BOILER_PART.search, words)) or told & HEADER_WORDS and not self.inside:
+            self.marked = OVERRULES
 
 
 def parse(html: str) -> Node:
-    """The tree of block elements; inline elements only tell which text is linked."""
+    """The tree of block elements; inline elements only tell which text is linked.
+
+    What an end tag or an implied end refers to is at hand, so the time is linear in the page, however deep
+    it is and however many tags have no counterpart.
+    """
     root = at = Node("html", None)
+    opened: dict[str, list[Node]] = {}
     links, last = 0, 0
     end = len(html)
+
+    def up_from(node: Node) -> Node:
+        """Close ``node`` and all that is open in it."""
+        here = at
+        while here is not node.parent:
+            opened[here.tag].pop()
+            here = here.parent
+        return here
+
     while last < end:
         m = _TAG.search(html, last)
         if (start := m.start() if m else end) > last:
@@ -92,7 +128,7 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if not closing and tag in RAW:
-            shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, last)
+            shut = _END[tag].search(html, last)
             last = shut.end() if shut else end
         elif tag == "a":
             links = 0 if closing else 1
@@ -101,31 +137,19 @@ def parse(html: str) -> Node:
         elif tag not in BLOCK and tag != "button" or tag in VOID:
             continue
         elif closing:
-            up = at
-            while up is not root and up.tag != tag:
-                if tag == "p" and up.tag in FRAME:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                at, links = up.parent, 0
+            node = at.paragraph if tag == "p" else opened[tag][-1] if opened.get(tag) else None
+            if node is not None:
+                at, links = up_from(node), 0
         else:
             links = 0
-            if tag in ENDS_P:
-                up = at
-                while up is not root and up.tag not in FRAME and up.tag != "p":
-                    up = up.parent
-                if up.tag == "p":
-                    at = up.parent
-            if tag in ENDS_OWN:
-                up = at
-                while up is not root and up.tag != tag and up.tag not in ENDS_OWN[tag]:
-                    up = up.parent
-                if up.tag == tag:
-                    at = up.parent
+            if tag in ENDS_P and at.paragraph is not None:
+                at = up_from(at.paragraph)
+            if tag in ENDS_OWN and tag in at.own:
+                at = up_from(at.own[tag])
             if tag == "body" or tag == "html":
                 continue
             node = Node(tag, at, m[3] if m[3] is not None else m[6] or "")
+            opened.setdefault(tag, []).append(node)
             at.items.append(node)
             at = node
     return root
@@ -142,23 +166,33 @@ def _nodes(root: Node, prune: bool) -> list[Node]:
 
 
 def _score(nodes: list[Node]) -> None:
-    """Points of each paragraph go to its parent whole, half to the next and a third to what stands above."""
+    """Points of each paragraph go to its parent whole, half to the next, and two thirds of that on at each step further up."""
     for n in nodes:
-        n.score, n.chars, n.linked = n.weight, 0, 0
-    for n in reversed(nodes):
+        n.score, n.near, n.chars, n.linked = 0.0, 0.0, 0, 0
+    for n in reversed(nodes):  # near: points of the children's own text; score, until it is done: of all further down
         own = " ".join("".join(x[0] for x in n.items if not isinstance(x, Node)).split())
         size = len(own)
         n.chars += size
         n.linked += min(size, sum(len(x[0].strip()) for x in n.items if not isinstance(x, Node) and x[1]))
-        if n.parent is not None:
-            n.parent.chars += n.chars
-            n.parent.linked += n.linked
-        if size:
-            points = 1 + own.count(",") + own.count("、") + min(size / 100, 3)
-            up, share = n.parent if n.parent is not None else n, 1
-            while up is not None:
-                up.score += points / share
-                up, share = up.parent, share + 1
+        points = 1 + own.count(",") + own.count("、") + min(size / 100, 3) if size else 0.0
+        up = n.parent
+        if up is not None:
+            up.chars += n.chars
+            up.linked += n.linked
+            up.near += points
+            up.score += n.near / 2 + n.score * 2 / 3
+        n.score += n.weight + n.near + (points if up is None else 0.0)
+
+
+def _weigh_marks(root: Node) -> None:
+    """Parts that names mark go, but for one with text of its own that makes up most of the page's."""
+    nodes = _nodes(root, True)
+    _score(nodes)
+    total = root.chars - root.linked
+    for n in nodes:
+        if n.marked:
+            n.boiler = _density(n) > MOST_LINKED or n.chars - n.linked <= n.marked * total
+            n.weight -= 5
 
 
 def _density(n: Node) -> float:
@@ -195,6 +229,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _weigh_marks(root)
     for prune in (True, False):
         nodes = _nodes(root, prune)
         _score(nodes)
@@ -233,4 +268,4 @@ def extract_pages(df: DataFrame, html: str = "html") -> DataFrame:
         return [texts, [len(t) for t in texts]]
 
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return with_python_columns(df, [html], compute, fields).drop(html)
+    return with_python_columns(df, [html], compute, fields, drop=(html,))
