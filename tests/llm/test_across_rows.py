@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brute import groups, plain_contamination, plain_dedup, plain_fingerprint, plain_windows
-from vecpack.llm import bpe, decontaminate, embedding_dedup, language_id, line_dedup, simhash
+from vecpack.llm import bpe, common, decontaminate, embedding_dedup, language_id, line_dedup, simhash
 from vecpack.llm.components import connected_components
 from vecpack.llm.queries import ORACLE_SQL, QUERIES
 
@@ -213,6 +213,26 @@ def test_awkward_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [16 << 20, 0], ids=["broadcast", "shuffled"])
+def test_long_documents_of_many_lines(spark, bound, monkeypatch):
+    """A passage of a document of 20,000 lines stands again in others; the hot line between them isn't a passage."""
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", bound)
+    long = [f"line {i} of the long one with words of its own" if i % 3 else "the hot line" for i in range(20_000)]
+    docs = [(1, "\n".join(long)), (2, "\n".join(["before it", *long[5001:5021], "after it"])), (3, "\n".join(["the hot line"] * 9)), (4, "\n".join(long[19_000:]))] + [(10 + i, f"own {i}\nthe hot line\nend {i}") for i in range(300)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {**{i: (t, 0) for i, t in docs}, 2: ("before it\nafter it", 20), 4: ("", 1000)}
+
+
+def test_every_column_comes_back(spark):
+    """Of names like those that are used within, too; repeated rows and nulls as they came."""
+    text = "\n".join(f"words of line {i} and more of them" for i in range(9))
+    names = ["tag", "doc_key", "cut_runs", "cut_key", "cut_tag", "h", "pos", "line", "gram", "place", "first"]
+    df = spark.createDataFrame([(1, text, *names), (2, text, *names), (2, text, *names), (None, None, *[None] * len(names))], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    got = line_dedup.cut_runs(df)
+    assert got.columns == df.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, [r if r["doc_id"] != 2 else type(r)(**{**r.asDict(), "text": ""}) for r in df.collect()]))
+
+
 # Benchmark passages
 
 def test_contamination_against_brute_force(spark):
@@ -305,8 +325,7 @@ def test_held_out_accuracy(spark):
 
     docs = spark.read.parquet(str(DATA).replace("sf0.001", "sf0.01") + "/documents.parquet")
     model = language_id.fit(docs.where("doc_id % 2 = 0"), rows=400)
-    nothing = F.lit(None).cast("string")
-    judged = language_id.identify(docs.where("doc_id % 2 = 1").withColumnRenamed("lang", "truth"), model, F.col("text"), nothing, nothing, nothing, nothing)
+    judged = language_id.identify_documents(docs.where("doc_id % 2 = 1").select(F.col("lang").alias("truth"), "text", F.lit(None).cast("string").alias("source")), model)
     rows = judged.select("truth", "lid_lang", "lid_kept").collect()
     assert np.mean([r["truth"] == r["lid_lang"] for r in rows]) > 0.98
     assert np.mean([r["lid_kept"] for r in rows]) > 0.99
@@ -326,7 +345,7 @@ def test_rare_labels_have_a_class(spark):
     assert language_id.fit(labelled, rows=20, label_rows=10).languages == ["de", "en", "fr"]
     hashed = labelled.selectExpr("lang AS label", "doc_id AS key", "xxhash64(doc_id) AS h").distinct()
     of_en = [r[0] for r in hashed.where("label = 'en'").orderBy("h").limit(10).select("key").collect()]
-    assert sorted(language_id._least_of_each(hashed, 10)) == sorted(of_en + [10_000, 10_001, 10_002, 20_000])
+    assert sorted(key for _, key in language_id._least_of_each(hashed, 10)) == sorted(of_en + [10_000, 10_001, 10_002, 20_000])
 
 
 def test_awkward_texts(spark, model):
@@ -352,10 +371,10 @@ def test_declarations_addresses_and_hosts_decide_short_texts(spark, model):
 def test_many_hosts_meet_in_a_join(spark, model, monkeypatch):
     df = spark.createDataFrame([(i, "the cat and the dog", None, f"s{i % 3}") for i in range(9)], "doc_id long, text string, lang string, source string")
     few = sorted(map(tuple, language_id.identify_documents(df, model).collect()))
-    monkeypatch.setattr(language_id, "MAX_BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", 0)
     assert sorted(map(tuple, language_id.identify_documents(df, model).collect())) == few
 
 
-@pytest.mark.parametrize(("url", "parts"), [("https://www.a.co.uk/en-us/x", ("www.a.co.uk", "co.uk", "en")), ("http://u:p@Fr.Site.com:80", ("fr.site.com", "site.com", "fr")), ("http://site.de/?x=/en/", ("site.de", "site.de", "de")), ("nothing", ("", "", None)), (None, ("", "", None))])
+@pytest.mark.parametrize(("url", "parts"), [("https://www.a.co.uk/en-us/x", ("www.a.co.uk", "co.uk", "en")), ("http://u:p@Fr.Site.com:80", ("fr.site.com", "site.com", "fr")), ("http://site.de/?x=/en/", ("site.de", "site.de", "de")), ("http://site.co/", ("site.co", "site.co", None)), ("http://site.com.br/x", ("site.com.br", "com.br", "pt")), ("nothing", ("", "", None)), (None, ("", "", None))])
 def test_addresses(url, parts):
     assert language_id.address(url) == parts

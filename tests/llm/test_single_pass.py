@@ -25,7 +25,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def plain_rule(host, path, rules):
     fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    return max(fits, key=lambda r: (len(r.host), len(r.path)), default=None)
+    return max(fits, key=lambda r: (len(r.host), len(r.path), r.verdict == "block"), default=None)
 
 
 @pytest.mark.parametrize(("url", "parts"), [
@@ -37,7 +37,7 @@ def test_split_url(url, parts):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["net", "a.net", "b.a.net", "org", "a"]), st.sampled_from(["", "/", "/x", "/x/", "/xy/", "/x/y", "/x/y/"]), st.sampled_from(["allow", "block"])), max_size=6, unique_by=lambda r: r[:2]), st.sampled_from(["net", "a.net", "c.b.a.net", "xnet", "org", "", "a"]), st.sampled_from(["", "/", "/x", "/x/", "/xy", "/xy/z", "/x/y/z", "x"]))
+@given(st.lists(st.tuples(st.sampled_from(["net", "a.net", "b.a.net", "org", "a"]), st.sampled_from(["", "/", "/x", "/x/", "/xy/", "/x/y", "/x/y/"]), st.sampled_from(["allow", "block"])), max_size=8), st.sampled_from(["net", "a.net", "c.b.a.net", "xnet", "org", "", "a"]), st.sampled_from(["", "/", "/x", "/x/", "/xy", "/xy/z", "/x/y/z", "x"]))
 def test_trie_is_the_longest_rule(rules, host, path):
     rules = [Rule(*r) for r in rules]
     assert RuleTrie(rules).match(host, path) == (plain_rule(host, path, rules) if host else None)
@@ -53,6 +53,28 @@ def test_url_frame(spark):
         RuleTrie([Rule("net", "/", "maybe")])
 
 
+@pytest.mark.parametrize("as_table", [False, True])
+def test_many_rules_are_joined(spark, as_table, monkeypatch):
+    """Beyond the bound the join judges as the trie does, equal rules, repeated rows and odd addresses too."""
+    rules = [Rule(h, p, v) for h in ("net", "A.net", "b.a.net", "org") for p in ("", "/", "/x", "/x/", "/x/y", "/xy/") for v in ("allow", "block") if (len(h) + len(p) + len(v)) % 3]
+    rules += [Rule("org", "/x/", "allow"), Rule("org", "/x/", "block")]
+    urls = [None, "", "no address", "://", "x:///p", "http://C.b.A.net/x/y/z?q", "http://net", "http://net/x#/x/y", "http://xnet/x/", "http://b.a.net/xy", "http://a.net/x/" + "y/" * 300, "http://org/x/"] * 2
+    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, RULE string")
+    want = sorted(url_filter.judge_urls(df, rules).select("page_id", "url", "host", "path", "rule", "verdict").collect(), key=str)
+    monkeypatch.setattr(url_filter, "MAX_RULES", 3)
+    given = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string") if as_table else rules
+    got = url_filter.judge_urls(df, given)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert sorted(got.collect(), key=str) == want
+    assert url_filter.judge_urls(df.limit(0), given).count() == 0
+
+
+def test_equal_rules_block_in_any_order():
+    for path in ("/x", "/x/", ""):
+        for order in (("allow", "block"), ("block", "allow")):
+            assert RuleTrie([Rule("a.net", path, v) for v in order]).match("a.net", "/x/").verdict == "block"
+
+
 # Secrets
 
 @pytest.fixture(scope="module")
@@ -98,8 +120,59 @@ def test_runs_that_almost_are_identifiers_end(encode):
         assert time.monotonic() - begun < 2
 
 
+def plain_base_spans(text):
+    """The contract's patterns as they stand, one search after the other."""
+    kinds = [(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("(AKIA[A-Z0-9]+)", 1, 20), ("([0-9a-f]+)", 1, 24)]
+    found = []
+    for kind, (pattern, group, least) in enumerate(kinds):
+        at = 0
+        while m := re.compile(pattern).search(text, at):
+            if len(m[group]) >= least:
+                found.append((m.start(), kind, m.end()))
+            at = m.end()
+    return sorted(found)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PassWd", "secret", "token", "api_key", "APIKEY", "'", '"', " ", ":", "=", "abcdef", "0123456789abcdef", "AKIA", "ABCDEFGHIJKLMNOP", "é", "ſ", "K", "\n", "xyz-_/+.", "deadbeef", "12"]), max_size=14))
+def test_base_spans_against_the_patterns(parts):
+    text = "".join(parts)
+    assert secrets.base_spans(text) == plain_base_spans(text)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_secret_query_against_brute_force(spark, encode):
+    """All documents: base spans by the patterns, added spans by trying each run against each base span."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = QUERIES["op8_secret_scan"](spark, str(DATA)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    named = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    for r in got:
+        text = texts[r["doc_id"]]
+        base = plain_base_spans(text)
+        runs = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)]
+        added = [s for s in runs if s[2] - s[0] <= 2 * len(encode(text[s[0] : s[2]])) and not secrets.is_known(text[s[0] : s[2]], encode, 2.0) and not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(b[1] == k for b in base) for k in range(3)]
+        assert (r["base_sha256"], r["spans"]) == (hashlib.sha256(named(base).encode()).hexdigest(), named(sorted(base + added)))
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + "12345", "token=abcdef " * 80_000, "xK9vQ2mZ7pLr4TnB8wYc3HdJ " * 40_000, "token" + " " * 1_000_000 + "=", "0123456789abcdef " * 60_000, "a1" * 500_000])
+def test_long_texts_take_seconds(encode, text):
+    begun = time.monotonic()
+    base, spans = secrets.scan(text, encode, 2.0)
+    assert time.monotonic() - begun < 10 and set(base) <= set(spans)
+
+
+@pytest.mark.parametrize(("alphabet", "least"), [("abcdefghijklmnopqrstuvwxyz", 0.85), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.9)])
+def test_planted_keys_are_found(encode, alphabet, least):
+    rng = random.Random(7)
+    keys = ["".join(rng.choices(alphabet, k=rng.choice([24, 32, 40]))) for _ in range(500)]
+    assert sum(any(s[1] == 3 for s in secrets.scan(f"see {k} for it", encode, 2.0)[1]) for k in keys) >= least * len(keys)
+
+
 def test_secret_frame(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "passwd=abcdef"), (3, "passwd=abcdef")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "passwd=abcdef", "x"), (3, "passwd=abcdef", "x")], "doc_id long, text string, Spans string")
+    assert secrets.find_secrets(df, RANKS, PATTERN).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     got = secrets.find_secrets(df, RANKS, PATTERN).collect()
     empty = hashlib.sha256(b"").hexdigest()
     assert [(r["n_assign"], r["base_sha256"], r["spans"]) for r in got[:2]] == [(0, empty, "")] * 2
@@ -152,6 +225,34 @@ def test_deep_and_long_pages():
     assert len(html_extract.extract("<article>" + "<p>word, word</p>" * 20000 + "</article>").split("\n")) == 20000
 
 
+_LONG = "".join(f"<p>Sentence {i}, with commas, and quite some text so that it scores as a paragraph of an article.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("names", ["post hentry category-social", "entry-content tag-search", "story rail-travel", "page-with-sidebar", "sidebar-layout", "category-news", "article-menu-free", "social", "notice-board"])
+def test_names_alone_dont_drop_an_article(names):
+    page = f"<body><div class=tagline>Site motto, short.</div><nav><a href=/>Home</a></nav><div class='{names}'><h2>Title</h2>{_LONG}<div class=share-buttons>Share, this</div><div class=comments><p>Nice, really.</p></div></div><div class=related><ul><li><a href=/x>Other, things</a></ul></div></body>"
+    got = html_extract.extract(page).split("\n")
+    assert got[0] == "Title" and len(got) == 9
+
+
+@pytest.mark.parametrize("names", ["comments", "post-comments", "comment-list", "reader-comments", "disqus thread"])
+def test_longer_reader_comments_are_left_out(names):
+    page = f"<body><article><h1>Title</h1>{_LONG[:400]}</p></article><section class='{names}'>{_LONG}{_LONG}</section></body>"
+    got = html_extract.extract(page)
+    assert got.startswith("Title") and got.count("Sentence") <= 5
+
+
+def test_formulas_are_text():
+    assert html_extract.extract(f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, they say.</p>{_LONG}</article>").startswith("So x=2, they say.")
+
+
+@pytest.mark.parametrize("soup", ["<div>a, ", "</p>", "</div>", "<ul>", "<p>a</div>", "<li>a", "<table><tr><td>a, ", "<header>a", "<!--", "<script>", "<title>", "<a href='x", "<div class='comments'>a, "])
+def test_a_megabyte_of_any_tag_takes_seconds(soup):
+    begun = time.monotonic()
+    html_extract.extract(soup * (1_000_000 // len(soup)))
+    assert time.monotonic() - begun < 30
+
+
 def test_page_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", "x"), (1, "u", "<p>a b</p>", "x"), (None, None, None, None)], "page_id long, url string, html string, TEXT string")
     got = html_extract.extract_pages(df)

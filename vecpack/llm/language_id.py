@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecpack.llm.common import with_python_columns, without
+from vecpack.llm.common import checkpointed, hinted, with_python_columns, without
 
-#: Labelled rows from which the text model is fitted: those of least key hash of all, and of each label.
+#: Labelled rows from which the text model is fitted, at most: those of least key hash of all, and of each label.
 SAMPLE_ROWS, LABEL_ROWS = 2000, 500
-#: Hosts whose counts are broadcast, at most; beyond, they are joined by a shuffle.
-MAX_BROADCAST_HOSTS = 100_000
 #: Slots of the table of byte trigrams.
 SLOTS = 1 << 17
 
@@ -31,7 +31,18 @@ LEAST_KNOWN = 0.25
 
 _LETTERS = re.compile(r"[^\W\d_]")
 _ADDRESS = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)")
-_MARKUP = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]+)|<meta\b[^>]*?content-language["']?\s+content\s*=\s*["']?([A-Za-z]+)""", re.I)
+# Each looks at one tag, and what isn't closed ends with the page: linear in the page's length.
+_MARKUP = re.compile(r"""<html\b[^<>]*?\slang\s*=\s*["']?([A-Za-z]+)|<meta\b[^<>]*?content-language["']?\s+content\s*=\s*["']?([A-Za-z]+)""", re.I)
+_TAGS = re.compile(r"<(script|style)\b.*?(?:</\1>|\Z)|<!--.*?(?:-->|\Z)|<[a-z/!?][^>]*(?:>|\Z)", re.S | re.I)
+_CODE = re.compile(r"([a-z]{2})(?:[-_][a-z]{2})?")
+
+#: The main language of a country suffix; others, and suffixes used all over the world, say nothing.
+COUNTRY_LANGUAGE = {
+    "at": "de", "de": "de", "li": "de", "ar": "es", "bo": "es", "cl": "es", "cr": "es", "cu": "es", "do": "es", "ec": "es", "es": "es", "gt": "es", "hn": "es", "mx": "es", "ni": "es", "pa": "es", "pe": "es", "py": "es", "sv": "es", "uy": "es", "ve": "es",
+    "fr": "fr", "mc": "fr", "sn": "fr", "ao": "pt", "br": "pt", "mz": "pt", "pt": "pt", "au": "en", "gb": "en", "ie": "en", "nz": "en", "uk": "en", "us": "en", "it": "it", "sm": "it", "nl": "nl", "pl": "pl", "ru": "ru", "by": "ru", "ua": "uk", "cz": "cs", "sk": "sk",
+    "hu": "hu", "ro": "ro", "bg": "bg", "gr": "el", "tr": "tr", "dk": "da", "se": "sv", "no": "no", "fi": "fi", "is": "is", "ee": "et", "lv": "lv", "lt": "lt", "hr": "hr", "rs": "sr", "si": "sl", "al": "sq", "jp": "ja", "cn": "zh", "tw": "zh", "hk": "zh", "kr": "ko",
+    "vn": "vi", "th": "th", "id": "id", "ir": "fa", "il": "he", "sa": "ar", "eg": "ar", "ae": "ar", "ma": "ar", "dz": "ar", "tn": "ar", "iq": "ar", "jo": "ar", "kw": "ar", "lb": "ar", "qa": "ar", "sy": "ar", "ye": "ar",
+}
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -68,8 +79,8 @@ class TextModel:
         return (total * (min(len(slots), MOST_EVIDENCE) / len(slots))).tolist(), float(self.seen[slots, best].mean())
 
 
-def _least_of_each(hashed: DataFrame, rows: int) -> list:
-    """Keys of (label, key, h), distinct, with the ``rows`` least hashes of each label; no label is gathered in a task.
+def _least_of_each(hashed: DataFrame, rows: int) -> list[tuple]:
+    """(label, key) of (label, key, h), distinct, with the ``rows`` least hashes of each label; no label is gathered in a task.
 
     Hashes are even, so some twice as many as are wanted lie below a bound that follows from the label's count.
     """
@@ -80,20 +91,29 @@ def _least_of_each(hashed: DataFrame, rows: int) -> list:
     by_label: dict[str, list] = {}
     for label, key, h in hashed.join(F.broadcast(bounds), "label").where("h <= bound").select("label", "key", "h").collect():
         by_label.setdefault(label, []).append((h, key))
-    return [key for found in by_label.values() for _, key in sorted(found)[:rows]]
+    return [(label, key) for label, found in by_label.items() for _, key in sorted(found)[:rows]]
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, label_rows: int = LABEL_ROWS) -> TextModel:
-    """A model from rows with a text and a label whose keys have the least hashes: ``rows`` of all, ``label_rows`` of each label.
+def sample(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, label_rows: int = LABEL_ROWS) -> DataFrame:
+    """(label, text): the labelled rows of the least key hashes, ``rows`` of all and ``label_rows`` of each label, at most.
 
-    So every label has a class, however rare. The sample's keys (bounded by ``rows`` and ``label_rows`` times the
-    labels) go to the driver, and so do the counts, one table a language.
+    Rows equal in key and label are one, that of the least text hash, and combine before they are sent. So the sample
+    has ``rows`` rows and ``label_rows`` times the labels at most, however often rows are repeated. Its keys go to the driver.
     """
     good = labelled.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(text).isNotNull())
     hashed = good.select(F.col(label).alias("label"), F.col(key).alias("key"), F.xxhash64(key).alias("h")).distinct()
-    keys = {r[0] for r in hashed.select("key", "h").distinct().orderBy("h", "key").limit(rows).collect()} | set(_least_of_each(hashed, label_rows))
-    wanted = labelled.sparkSession.createDataFrame([(k,) for k in sorted(keys)], T.StructType([T.StructField(key, labelled.schema[key].dataType)]))
-    sample = good.join(F.broadcast(wanted), key, "left_semi").select(F.col(label).alias("label"), F.col(text).alias("text"))
+    pairs = {(r[0], r[1]) for r in hashed.orderBy("h", "key", "label").limit(rows).collect()} | set(_least_of_each(hashed, label_rows))
+    wanted = labelled.sparkSession.createDataFrame(sorted(pairs), T.StructType([T.StructField("label", labelled.schema[label].dataType), T.StructField("key", labelled.schema[key].dataType)]))
+    found = good.select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(wanted), ["label", "key"], "left_semi")
+    return found.groupBy("label", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
+
+
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, label_rows: int = LABEL_ROWS) -> TextModel:
+    """A model of the :func:`sample`, in which every label has a class, however rare.
+
+    All tasks look for the sample's rows; one task, after the shuffle, counts the rows found, whose number is
+    bounded. The counts go to the driver, one table a language.
+    """
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
@@ -103,7 +123,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
                 table += np.bincount(trigrams(t), minlength=SLOTS)
         yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.string()), pa.array([t.astype("<i8").tobytes() for t in tables.values()], pa.binary())], names=["label", "counts"])
 
-    counted = sample.coalesce(1).mapInArrow(count, "label string, counts binary").collect()
+    counted = sample(labelled, key, text, label, rows, label_rows).repartition(1).mapInArrow(count, "label string, counts binary").collect()
     return TextModel.of({r["label"]: np.frombuffer(r["counts"], "<i8") for r in counted})
 
 
@@ -114,35 +134,33 @@ def declared_language(html: str | None) -> str | None:
 
 
 def address(url: str | None) -> tuple[str, str, str | None]:
-    """(host, its last two labels, the language code that the host's first or last label or the path's first names)."""
+    """(host, its last two labels, the language that the path's first part, the host's first label or its country names)."""
     found = _ADDRESS.match(url) if url else None
     if not found:
         return "", "", None
     labels = found[1].lower().split(".")
-    first = found[2].split("/")[1].lower() if found[2].count("/") else ""
-    code = next((x[:2] for x in (first, labels[0], labels[-1]) if re.fullmatch(r"[a-z]{2}(-[a-z]{2})?", x)), None)
+    first = found[2].split("/", 2)[1].lower() if found[2].count("/") else ""
+    named = (_CODE.fullmatch(x) for x in (first, labels[0] if len(labels) > 1 else ""))
+    code = next((m[1] for m in named if m), COUNTRY_LANGUAGE.get(labels[-1]))
     return ".".join(labels), ".".join(labels[-2:]), code
 
 
-def evidence(df: DataFrame, model: TextModel, text: Column, declared: Column, code: Column) -> DataFrame:
-    """``df`` with ``lid_logs``, log likelihoods of text, declaration and address by language, and ``lid_known``."""
-    columns = df.withColumns({"lid_text": text, "lid_declared": F.lower(declared), "lid_code": F.lower(code)})
-    n = max(len(model.languages), 2)
+def page_text(html: str | None) -> str | None:
+    """What a page has between its tags, character references decoded."""
+    return unescape(_TAGS.sub(" ", html)) if html else None
 
-    def compute(texts, declarations, codes):
-        logs, known = [], []
-        for t, d, c in zip(texts, declarations, codes, strict=True):
-            row, share = model.score(t)
-            for i, language in enumerate(model.languages):
-                for said, right in ((d, DECLARED_RIGHT), (c, ADDRESS_RIGHT)):
-                    if said in model.languages:
-                        row[i] += np.log(right if said == language else (1 - right) / (n - 1))
-            logs.append([float(x) for x in row])
-            known.append(share)
-        return [logs, known]
 
-    fields = [T.StructField("lid_logs", T.ArrayType(T.DoubleType())), T.StructField("lid_known", T.DoubleType())]
-    return with_python_columns(columns, ["lid_text", "lid_declared", "lid_code"], compute, fields).drop("lid_text", "lid_declared", "lid_code")
+def _evidence(model: TextModel, texts, declarations, codes) -> tuple[list, list]:
+    """Log likelihoods of text, declaration and address by language, and the share of trigrams known, of each row."""
+    n, logs, known = max(len(model.languages), 2), [], []
+    for t, *said in zip(texts, declarations, codes, strict=True):
+        row, share = model.score(t)
+        for code, right in zip(said, (DECLARED_RIGHT, ADDRESS_RIGHT), strict=True):
+            if code is not None and (code := code.lower()) in model.languages:
+                row = [x + math.log(right if code == language else (1 - right) / (n - 1)) for x, language in zip(row, model.languages, strict=True)]
+        logs.append(row)
+        known.append(share)
+    return logs, known
 
 
 def _normal(logs: Column) -> Column:
@@ -151,73 +169,91 @@ def _normal(logs: Column) -> Column:
     return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda s, y: s + y))
 
 
-def host_priors(scored: DataFrame, domain: str, host: str, languages: int) -> DataFrame:
-    """(domain, host, lid_prior): the language shares of each host, smoothed by its domain's, those by all rows'.
+def _smoothed(sums: Column, rows: Column, parent: Column) -> Column:
+    """Shares of a level: (its sums + PRIOR_WEIGHT times the parent's shares) over (its rows + PRIOR_WEIGHT)."""
+    return F.zip_with(sums, parent, lambda s, p: (s + PRIOR_WEIGHT * p) / (rows + PRIOR_WEIGHT))
+
+
+def _fused(scored: DataFrame, languages: list[str], names: list[str]) -> DataFrame:
+    """The columns ``names`` of ``scored`` with lid_lang, lid_score and lid_kept.
 
-    Counts are sums of the rows' own probabilities, grouped by host, then by domain, then at all; each
-    level's share is (its sum + PRIOR_WEIGHT times its parent's share) over (its rows + PRIOR_WEIGHT).
+    The sums of the rows' own probabilities are grouped by host, by domain and at all. A row's prior is its
+    host's share without the row itself, smoothed by its domain's, which all rows' smooth. One row of sums
+    goes to the driver; host sums are broadcast if their table, counted, is small, and else joined, where a
+    host that has many rows is split.
     """
-    sums = [F.sum(F.col("lid_own")[i]).alias(f"s{i}") for i in range(languages)]
-    total = [f"s{i}" for i in range(languages)]
-    hosts = scored.groupBy(domain, host).agg(F.count("*").alias("rows"), *sums)
-    domains = hosts.groupBy(domain).agg(F.sum("rows").alias("d_rows"), *[F.sum(s).alias(f"d_{s}") for s in total])
-    at_all = domains.agg(F.sum("d_rows").alias("a_rows"), *[F.sum(f"d_{s}").alias(f"a_{s}") for s in total])
-    joined = hosts.join(domains, domain).crossJoin(F.broadcast(at_all))  # at_all is one row
-    shares = []
-    for s in total:
-        top = (F.col(f"a_{s}") + PRIOR_WEIGHT / languages) / (F.col("a_rows") + PRIOR_WEIGHT)
-        middle = (F.col(f"d_{s}") + PRIOR_WEIGHT * top) / (F.col("d_rows") + PRIOR_WEIGHT)
-        shares.append((F.col(s) + PRIOR_WEIGHT * middle) / (F.col("rows") + PRIOR_WEIGHT))
-    return joined.select(domain, host, F.array(*shares).alias("lid_prior"))
-
-
-def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, code: Column, domain: Column, host: Column, places: DataFrame | None = None) -> DataFrame:
-    """``df`` with lid_lang, lid_score (its probability) and lid_kept.
-
-    The probability of a language is in proportion to text, declaration and address likelihoods and the
-    host's prior. A row is rejected, its language ``und``, if its text has no letters, or if even the best
-    language knows less than LEAST_KNOWN of its trigrams. Null and empty texts have no letters; a null
-    declaration, address or host says nothing (its host is the empty one); a model without languages
-    rejects all. Repeated rows are judged alike. Columns of ``df`` named ``lid_...`` are replaced.
-
-    The texts are scored twice, for the priors and for the result, and never shuffled: priors of up to
-    MAX_BROADCAST_HOSTS hosts, which are counted, are broadcast; of more, they meet the rows in a join.
-    ``places`` are the domains and hosts of the rows, where there is a cheaper way to them than by ``df``.
+    n = len(languages)
+    own = scored.where("lid_known > 0")
+    hosts = own.groupBy("lid_domain", "lid_host").agg(F.count("*").alias("h_rows"), *[F.sum(F.col("lid_own")[i]).alias(f"h{i}") for i in range(n)])
+    hosts = checkpointed(hosts.select("lid_domain", "lid_host", "h_rows", F.array(*[f"h{i}" for i in range(n)]).alias("h_sums")))
+    by_domain = hosts.groupBy("lid_domain").agg(F.sum("h_rows").alias("d_rows"), *[F.sum(F.col("h_sums")[i]).alias(f"d{i}") for i in range(n)])
+    domains = by_domain.select("lid_domain", "d_rows", F.array(*[f"d{i}" for i in range(n)]).alias("d_sums"))
+    total = hosts.agg(F.coalesce(F.sum("h_rows"), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(F.col("h_sums")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
+    top = F.array(*[F.lit((total[f"s{i}"] + PRIOR_WEIGHT / n) / (total["rows"] + PRIOR_WEIGHT)) for i in range(n)])
+    levels = hosts.join(domains, "lid_domain")
+    joined = scored.join(hinted(levels, hosts.count(), 128 + 16 * n), ["lid_domain", "lid_host"], "left")
+
+    def others(sums: str) -> Column:
+        return F.zip_with(sums, "lid_own", lambda s, o: F.greatest(s - o, F.lit(0.0)))
+
+    middle = _smoothed(others("d_sums"), F.col("d_rows") - 1, top)
+    prior = F.when(F.col("lid_known") > 0, _smoothed(others("h_sums"), F.col("h_rows") - 1, middle)).otherwise(top)
+    fused = joined.withColumn("lid_all", _normal(F.zip_with("lid_logs", prior, lambda x, p: x + F.ln(p)))).withColumn("lid_kept", F.col("lid_known") >= LEAST_KNOWN)
+    score = F.array_max("lid_all")
+    best = F.element_at(F.array(*map(F.lit, languages)), F.array_position("lid_all", score).cast("int"))
+    return fused.select(*[f"`{c}`" for c in names], F.when(F.col("lid_kept"), best).otherwise("und").alias("lid_lang"), F.when(F.col("lid_kept"), score).otherwise(0.0).alias("lid_score"), "lid_kept")
+
+
+def identify(df: DataFrame, model: TextModel, inputs: list[str], read) -> DataFrame:
+    """``df`` without its columns ``inputs``, with lid_lang, lid_score (its probability) and lid_kept.
+
+    ``read(*lists)`` makes of the inputs' values lists of texts, declared languages, address languages,
+    domains and hosts. The probability of a language is in proportion to text, declaration and address
+    likelihoods and the host's prior. A row is rejected, its language ``und``, if its text has no letters,
+    or if even the best language knows less than LEAST_KNOWN of its trigrams. Null and empty texts have no
+    letters; a null declaration, address or host says nothing (its host is the empty one); a model without
+    languages rejects all, and an empty table gives an empty one. Whole texts are scored, of any length.
+    Repeated rows are judged alike; of equal probabilities the first language by name counts. Columns of
+    ``df`` named like a result are replaced.
+
+    Texts are scored once, in batches, and don't come back from the worker: what is checkpointed is a row's
+    other columns and its likelihoods, and these meet the priors.
     """
-    made = ["lid_logs", "lid_known", "lid_own", "lid_prior", "lid_domain", "lid_host", "lid_lang", "lid_score", "lid_kept", "lid_text", "lid_declared", "lid_code", "lid_all"]
-    named = without(df, made).withColumns({"lid_domain": F.coalesce(domain, F.lit("")), "lid_host": F.coalesce(host, F.lit(""))})
+    kept = without(df, ["lid_lang", "lid_score", "lid_kept"])
     if not model.languages:
-        return named.drop("lid_domain", "lid_host").withColumns({"lid_lang": F.lit("und"), "lid_score": F.lit(0.0), "lid_kept": F.lit(False)})
-    scored = evidence(named, model, text, declared, code)
-    with_own = scored.withColumn("lid_own", _normal(F.col("lid_logs")))
-    priors = host_priors(with_own.where("lid_known > 0").select("lid_domain", "lid_host", "lid_own"), "lid_domain", "lid_host", len(model.languages))
-    few = (named.select("lid_domain", "lid_host") if places is None else places).distinct().count() <= MAX_BROADCAST_HOSTS
-    joined = scored.join(F.broadcast(priors) if few else priors, ["lid_domain", "lid_host"], "left")
-    flat = F.array(*[F.lit(1.0 / len(model.languages))] * len(model.languages))
-    fused = F.zip_with("lid_logs", F.coalesce("lid_prior", flat), lambda x, p: x + F.ln(p))
-    judged = joined.withColumn("lid_all", _normal(fused)).withColumn("lid_kept", F.col("lid_known") >= LEAST_KNOWN)
-    score = F.array_max("lid_all")
-    names = F.array(*map(F.lit, model.languages))
-    best = F.element_at(names, F.array_position("lid_all", score).cast("int"))
-    columns = [c for c in without(df, made).columns]
-    return judged.select(*[f"`{c}`" for c in columns], F.when(F.col("lid_kept"), best).otherwise("und").alias("lid_lang"), F.when(F.col("lid_kept"), score).otherwise(0.0).alias("lid_score"), "lid_kept")
+        return kept.drop(*inputs).withColumns({"lid_lang": F.lit("und"), "lid_score": F.lit(0.0), "lid_kept": F.lit(False)})
+    names = [c for c in kept.columns if c not in inputs]
+    plain = kept.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(names)], *[F.col(f"`{c}`").alias(f"of{i}") for i, c in enumerate(inputs)])
+    fields = [T.StructField("lid_logs", T.ArrayType(T.DoubleType())), T.StructField("lid_known", T.DoubleType()), T.StructField("lid_domain", T.StringType()), T.StructField("lid_host", T.StringType())]
+
+    def compute(*columns):
+        texts, declarations, codes, domains, hosts = read(*columns)
+        return [*_evidence(model, texts, declarations, codes), domains, hosts]
+
+    of = [f"of{i}" for i in range(len(inputs))]
+    scored = checkpointed(with_python_columns(plain, of, compute, fields, drop=tuple(of)).withColumn("lid_own", _normal(F.col("lid_logs"))))
+    back = [f"in{i}" for i in range(len(names))]
+    return _fused(scored, model.languages, back).withColumnsRenamed(dict(zip(back, names, strict=True)))
+
+
+def identify_documents(docs: DataFrame, model: TextModel, text: str = "text", source: str = "source") -> DataFrame:
+    """Documents, without ``text`` and ``source``: ``source`` is the host; they have no markup and no address.
+
+    Their column ``lang`` isn't evidence: it is the label that the model is fitted on.
+    """
 
+    def read(texts, sources):
+        hosts = [s or "" for s in sources]
+        return texts, [None] * len(texts), [None] * len(texts), hosts, hosts
 
-def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
-    """Documents: ``lang`` is what is declared, ``source`` the host; they have no address."""
-    nothing = F.lit(None).cast("string")
-    return identify(docs, model, F.col("text"), F.col("lang"), nothing, F.col("source"), F.col("source"))
+    return identify(docs, model, [text, source], read)
 
 
-def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
-    """Pages: the markup's declaration, and host and language code of the address; the text is what is between tags."""
+def identify_pages(pages: DataFrame, model: TextModel, html: str = "html", url: str = "url") -> DataFrame:
+    """Pages, without ``html`` and ``url``: the markup's declaration, the address's host and language, the text between tags."""
 
-    def compute(html, urls):
-        texts = [re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ", h) if h else None for h in html]
+    def read(pages, urls):
         parts = [address(u) for u in urls]
-        return [texts, [declared_language(h) for h in html], *map(list, zip(*parts, strict=True))] if parts else [[]] * 5
+        return map(page_text, pages), map(declared_language, pages), [p[2] for p in parts], [p[1] for p in parts], [p[0] for p in parts]
 
-    names = ["page_text", "page_declared", "page_host", "page_domain", "page_code"]
-    places = with_python_columns(pages.select("url"), ["url"], lambda urls: list(map(list, zip(*(address(u)[:2] for u in urls), strict=True))) if urls else [[], []], [T.StructField(n, T.StringType()) for n in names[2:4]]).drop("url")
-    read = with_python_columns(without(pages, names), ["html", "url"], compute, [T.StructField(n, T.StringType()) for n in names]).drop("html")
-    return identify(read, model, *(F.col(n) for n in ("page_text", "page_declared", "page_code", "page_domain", "page_host")), places=places).drop(*names)
+    return identify(pages, model, [html, url], read)

@@ -43,7 +43,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"), pre_token_pattern()).drop("text")
+    return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"), pre_token_pattern())
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return secrets.find_secrets(docs, tokenizer("byte_bpe_50k.tiktoken"), pre_token_pattern()).drop("text")
+    return secrets.find_secrets(docs, tokenizer("byte_bpe_50k.tiktoken"), pre_token_pattern())
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     model = language_id.fit(docs)
     result = ["lid_lang AS lang", "round(lid_score, 6) AS score", "lid_kept AS kept"]
-    of_docs = language_id.identify_documents(docs.select("doc_id", "text", "lang", "source"), model).selectExpr("doc_id", "CAST(NULL AS BIGINT) AS page_id", *result)
-    of_pages = language_id.identify_pages(pages, model).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "page_id", *result)
+    of_docs = language_id.identify_documents(docs.select("doc_id", "text", "source"), model).selectExpr("doc_id", "CAST(NULL AS BIGINT) AS page_id", *result)
+    of_pages = language_id.identify_pages(pages.select("page_id", "html", "url"), model).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "page_id", *result)
     return of_docs.unionAll(of_pages)
 
 

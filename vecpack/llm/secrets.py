@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -94,8 +96,9 @@ def scan(text: str | None, encode, ratio: float) -> tuple[list[tuple[int, int, i
     if not text:
         return [], []
     base = base_spans(text)
-    more = [s for s in packed_spans(text, encode, ratio) if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
-    return base, sorted(base + more)
+    starts, reached = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+    before = [(s, bisect_left(starts, s[2])) for s in packed_spans(text, encode, ratio)]  # base spans that begin before its end
+    return base, sorted(base + [s for s, n in before if not n or reached[n - 1] <= s[0]])
 
 
 def _joined(spans) -> str:
@@ -103,7 +106,7 @@ def _joined(spans) -> str:
 
 
 def find_secrets(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ratio: float = 2.0) -> DataFrame:
-    """``df`` with n_assign, n_access, n_hex, base_sha256 and spans (``kind:start:end``, comma-joined).
+    """``df`` without its ``text``, with n_assign, n_access, n_hex, base_sha256 and spans (``kind:start:end``, comma-joined).
 
     ``vocabulary`` is the place of a file of tiktoken ranks. Null and empty texts have no spans (and the
     digest of the empty string); whole texts are scanned, repeated rows alike; columns of ``df`` named
@@ -122,4 +125,4 @@ def find_secrets(df: DataFrame, vocabulary: str, pattern: str, text: str = "text
         return out
 
     fields = [T.StructField(n, T.LongType()) for n in ("n_assign", "n_access", "n_hex")] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")]
-    return with_python_columns(df, [text], compute, fields)
+    return with_python_columns(df, [text], compute, fields, drop=(text,))

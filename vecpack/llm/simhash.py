@@ -43,8 +43,8 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
-    """``df`` with its column ``fp`` (long); null and empty texts have 0."""
-    return with_python_columns(df, [text], lambda texts: [[fingerprint(t, words) for t in texts]], [T.StructField("fp", T.LongType())])
+    """``df`` without its ``text``, with ``fp`` (long); null and empty texts have 0."""
+    return with_python_columns(df, [text], lambda texts: [[fingerprint(t, words) for t in texts]], [T.StructField("fp", T.LongType())], drop=(text,))
 
 
 class Code:

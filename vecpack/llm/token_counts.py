@@ -80,7 +80,7 @@ class Unigram:
 
 
 def count_tokens(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with n_words (pre-tokens by ``pattern``) and n_tokens under the pieces of ``vocabulary``.
+    """``df`` without its ``text``, with n_words (pre-tokens by ``pattern``) and n_tokens under the pieces of ``vocabulary``.
 
     ``vocabulary`` is the place of a sentencepiece model. Null and empty texts have no words. Each batch
     puts its distinct pre-tokens in one trie; counts are remembered across batches within a fixed bound.
@@ -102,4 +102,4 @@ def count_tokens(df: DataFrame, vocabulary: str, pattern: str, text: str = "text
         return [[len(ws) for ws in words], [sum(map(known.__getitem__, ws)) for ws in words]]
 
     fields = [T.StructField(n, T.LongType()) for n in ("n_words", "n_tokens")]
-    return with_python_columns(df, [text], compute, fields)
+    return with_python_columns(df, [text], compute, fields, drop=(text,))
