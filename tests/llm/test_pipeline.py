@@ -1,11 +1,16 @@
 import hashlib
+import os
+import shutil
 import struct
+import subprocess
+import sys
+from itertools import combinations
 from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
-from brute import groups, plain_contamination, plain_dedup, plain_fingerprint, plain_windows
+from brute import groups, plain_contamination, plain_dedup, plain_shingles, plain_windows
 from vecpack.llm.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -35,9 +40,9 @@ def test_stages_against_their_operators(spark, stages):
     assert lang.keys() == before.keys() and all(lang[i]["text"] == before[i]["text"] for i in lang)
     assert {i: r["text"] for i, r in lines.items()} == plain_dedup([(i, r["text"]) for i, r in lang.items()], 50)
     assert all(r["n_chars"] == len(r["text"]) for r in lines.values())
-    fps = {i: plain_fingerprint(r["text"]) for i, r in lines.items()}
-    links = [(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 2]
-    assert near.keys() == {i for i, g in groups(fps, links).items() if i == g}
+    sets = {i: plain_shingles(r["text"]) for i, r in lines.items()}  # five words and 0.8, not op4's three words and two bits
+    links = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert near.keys() == {i for i, g in groups(sets, links).items() if i == g}
     windows = plain_windows([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()])
     assert clean.keys() == {i for i, r in near.items() if not plain_contamination(r["text"], windows)[-1]}
     assert last.keys() == clean.keys()
@@ -74,6 +79,46 @@ def test_one_of_each_group_stays(spark):
     assert sorted(got, key=repr) == sorted([(1, "a b c"), (1, "other words here"), (None, "x y z"), (2, "p q r"), (3, "")], key=repr)
 
 
+def test_columns_of_any_name_pass_unchanged(spark, tmp_path):
+    """Through all stages but the last, also where the operators use such names within."""
+    names = ["tag", "doc_key", "cut_runs", "cut_key", "k0", "k1", "k2", "copy", "lid_text", "lid_lang", "lid_kept", "lid_known", "n_lines", "n_removed", "node", "first", "times", "gone_id", "bad_tag", "new_lang", "id", "place", "label", "fp", "words"]
+    spark.createDataFrame([(1, "the very passage of a test")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text = "the cat and the dog with that other thing number {} and more of the same"
+    rows = [(i, text.format(i) * (1 + i % 3), "en", "s", 1, *[f"{n}-{i}" for n in names]) for i in range(12)] + [(50, None, None, None, None, *[None] * len(names)), (51, text.format(1) * 2, "de", "s", 1, *["x"] * len(names))]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{n} string' for n in names)}")
+    given = {r["doc_id"]: r for r in docs.collect()}
+    left = docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        path = str(tmp_path / f"{i}-{name}")
+        stage(spark, left, str(tmp_path)).write.parquet(path)
+        left = spark.read.parquet(path)
+        assert left.columns == docs.columns
+        kept = left.collect()
+        assert kept and all(r[n] == given[r["doc_id"]][n] for r in kept for n in names)
+
+
+def test_labels_are_told_by_the_text(spark):
+    """A wrong label changes, a right one doesn't; rows without letters go, the rest stay."""
+    texts = {"en": "the cat and the dog with that other thing", "de": "der hund und die katze mit einem anderen ding"}
+    rows = [(i, f"{t} {i}", k, "s", 1) for i in range(40) for k, t in texts.items()] + [(100, texts["de"], "en", "s", 1), (101, texts["de"], None, None, 1), (102, "12 34", "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["lang"]) for r in corpus_pipeline.identify_language(spark, docs, "").collect())
+    assert got == sorted([(i, k) for i in range(40) for k in texts] + [(100, "de"), (101, "de")])
+
+
+def test_entry_without_the_folders(tmp_path):
+    """The library's own queries are there when the folders have gone, also where caches of them were left behind."""
+    root = Path(corpus_pipeline.__file__).parent
+    for name in ("__spark_entry__.py", "vecpack"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    for p in (tmp_path / "vecpack/llm").glob("*.py"):
+        p.unlink()
+    (tmp_path / "vecpack/llm/__pycache__").mkdir(exist_ok=True)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    assert int(said.stdout.split()[-2]) >= 46
+
+
 def test_registered(spark):
     import __spark_entry__
 
