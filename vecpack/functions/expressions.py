@@ -6,6 +6,8 @@ the Arrow operators, which give the same codes and signs.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +93,28 @@ def packed_hex(codes: Column | str, bits: int, values: int) -> Column:
     return let(codes, lambda codes: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), byte(codes)), ""))
 
 
+def _uniform(seed: Column, i: Column, salt: str = "") -> Column:
+    """A number in (0, 1) of 48 bits of the MD5 of seed, salt and place."""
+    digits = F.substring(F.md5(F.concat_ws(":", seed, F.concat(F.lit(salt), i.cast("string")))), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(2.0**48)
+
+
+def seeded_vector(seed: Column, dim: int) -> Column:
+    """A unit vector from a seed (a number or a text): the same seed, the same vector, in whatever task or run."""
+    return normalize(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _uniform(seed.cast("string"), i) * 2 - 1))
+
+
+def gaussian_vector(seed: Column, dim: int) -> Column:
+    """As :func:`seeded_vector`, evenly on the sphere: normalised independent normal numbers (by Box and Muller)."""
+    def normal(i: Column) -> Column:
+        return F.sqrt(F.log(_uniform(seed.cast("string"), i, "r")) * -2) * F.cos(_uniform(seed.cast("string"), i, "a") * (2 * math.pi))
+
+    return normalize(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), normal))
+
+
 def hash_vector(text: Column, dim: int) -> Column:
-    """A unit vector from a text's hash: the same text, the same vector; alike texts don't get near ones."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.xxhash64(text, i) / F.lit(2.0**63))
-    return normalize(raw)
+    """A unit vector from a text's MD5: the same text, the same vector; alike texts don't get near ones."""
+    return seeded_vector(F.md5(text), dim)
 
 
 def one_hot(at: Column, dim: int) -> Column:

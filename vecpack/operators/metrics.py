@@ -67,6 +67,45 @@ def estimate_errors(products: DataFrame, estimate: str) -> DataFrame:
     return sums.select("n", "bias", "mae", "var", F.sqrt(F.col("var") / F.col("n")).alias("std_err"), (F.abs("bias") / F.col("size") * 100).alias("relative_bias"), "slope")
 
 
+_SUMS = ["n", "error", "size_of_error", "squared_error", "size", "product", "square"]
+
+
+def inner_product_errors(df: DataFrame, queries: DataFrame, model: VectorModel, vector: str = "embedding") -> DataFrame:
+    """(estimate, n, bias, mae, var, std_err, relative_bias, slope) over all pairs of rows and stated queries.
+
+    The two estimates, ``plain`` and ``corrected``, are as in :func:`inner_products`, the measures as in
+    :func:`estimate_errors`. A batch gives one row of sums for each estimate and pass of queries: pairs don't
+    leave the worker, and what is added up doesn't grow with their number.
+    """
+    from vecpack.operators.search import QUERIES_PER_PASS, query_vectors
+
+    q = np.array([v for _, v in query_vectors(queries, vector)], np.float64).reshape(-1, model.dim)
+
+    def sums(part: np.ndarray):
+        rotated, projected = kernels.prepare(part, model)
+
+        def run(batches):
+            for batch in batches:
+                x = matrix(batch.column(batch.schema.get_field_index(vector)), model.dim)
+                e, t = kernels.encode(x, model), x @ part.T
+                rows = []
+                for signs in (False, True):
+                    estimate = kernels.score(e, rotated, projected, model, signs)
+                    d = estimate - t
+                    rows.append([float(d.size), d.sum(), np.abs(d).sum(), (d * d).sum(), np.abs(t).sum(), (estimate * t).sum(), (t * t).sum()])
+                yield pa.RecordBatch.from_arrays([pa.array(["plain", "corrected"]), *(pa.array(list(map(float, c))) for c in zip(*rows, strict=True))], names=["estimate", *_SUMS])
+
+        return df.select(vector).mapInArrow(run, ", ".join(["estimate string", *(f"{c} double" for c in _SUMS)]))
+
+    passes = [sums(q[i : i + QUERIES_PER_PASS]) for i in range(0, len(q), QUERIES_PER_PASS)]
+    if not passes:
+        return df.sparkSession.createDataFrame([], "estimate string, n long, bias double, mae double, var double, std_err double, relative_bias double, slope double")
+    total = reduce(DataFrame.unionAll, passes).groupBy("estimate").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n, bias = F.col("n"), F.col("error") / F.col("n")
+    var = F.when(n > 1, (F.col("squared_error") - F.col("error") * bias) / (n - 1))
+    return total.select("estimate", n.cast("long").alias("n"), bias.alias("bias"), (F.col("size_of_error") / n).alias("mae"), var.alias("var"), F.sqrt(var / n).alias("std_err"), (F.abs(bias) / F.try_divide("size", n) * 100).alias("relative_bias"), F.try_divide("product", "square").alias("slope"))
+
+
 def recall(exact: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
     """One row, recall: the mean share of each query's exact top k that the other search found too."""
     found = exact.select("query_id", "vec_id").join(approximate.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
@@ -90,6 +129,18 @@ def sizes(spark: SparkSession, models: list[VectorModel]) -> DataFrame:
     return spark.createDataFrame(rows, "label string, dim int, bytes_per_vector int, bits_per_dim double, ratio double")
 
 
+def configs(spark: SparkSession, models: list[VectorModel]) -> DataFrame:
+    """(label, variant, bits, angle_bits, radius_bits, bytes_per_vector): what tells the models apart."""
+    rows = [(m.label, m.variant, m.bits, m.angle_bits, m.radius_bits, m.bytes_per_vector) for m in models]
+    return spark.createDataFrame(rows, "label string, variant string, bits int, angle_bits int, radius_bits int, bytes_per_vector int")
+
+
+def head_to_head(df: DataFrame, models: list[VectorModel], vector: str = "embedding") -> DataFrame:
+    """(label, bytes_per_vector, bits_per_dim, ratio, n, mse, cosine): one table of all models, of either variant."""
+    made = sizes(df.sparkSession, models).drop("dim", "bytes_per_vector")
+    return reconstruction(df, models, vector).join(F.broadcast(made), "label").select("label", "bytes_per_vector", "bits_per_dim", "ratio", "n", "mse", "cosine")
+
+
 def record_file_bytes(model: VectorModel, vectors: int) -> int:
     """A record file's size: 16 bytes of header, 5 of parameters, then the records."""
     return 21 + vectors * model.bytes_per_vector

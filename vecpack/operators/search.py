@@ -56,7 +56,7 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _query_vectors(queries: DataFrame, vector: str) -> list[tuple[int, list[float]]]:
+def query_vectors(queries: DataFrame, vector: str) -> list[tuple[int, list[float]]]:
     """Queries are a stated set: they go to the driver once, to be prepared there, and on in passes."""
     return [(r[0], r[1]) for r in queries.select("query_id", F.col(vector).cast("array<double>")).orderBy("query_id").collect()]
 
@@ -78,7 +78,7 @@ def topk_join(encoded: DataFrame, queries: DataFrame, model: VectorModel, k: int
     Equal scores rank by seq. k below 1 gives no rows, k above the number of rows all of them. Queries of
     another length raise. Each batch is scored by one matrix product and gives k rows a query.
     """
-    vectors = _query_vectors(queries, vector)
+    vectors = query_vectors(queries, vector)
     for _, v in vectors:
         if v is None or len(v) != model.dim:
             raise DimensionMismatch(model.dim, 0 if v is None else len(v))
@@ -113,7 +113,7 @@ def topk(encoded: DataFrame, query: list[float], model: VectorModel, k: int, use
 
 def exact_topk(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
     """As :func:`topk_join`, by exact inner products of raw vectors; ties by vec_id."""
-    vectors = _query_vectors(queries, vector)
+    vectors = query_vectors(queries, vector)
     dim = len(vectors[0][1]) if vectors else 0
 
     def make(q):

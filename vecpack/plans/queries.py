@@ -18,6 +18,7 @@ from vecpack.functions import expressions as X
 from vecpack.functions.sql import register
 from vecpack.model import VectorModel, codebook
 from vecpack.operators import codec, metrics, search
+from vecpack.operators.embed import embed
 from vecpack.plans import oracle as O
 from vecpack.sources.index import VectorIndex
 
@@ -388,6 +389,28 @@ def reconstruction_polar(spark, sf_dir):
     return _errors(spark, sf_dir, [polar(*p) for p in POLAR_BITS])
 
 
+def _all_models() -> list[VectorModel]:
+    return [*(polar(*p) for p in POLAR_BITS), *map(lm, LM_BITS)]
+
+
+@registered(lambda: f"SELECT *, {s4(f'8.0 * bytes_per_vector / {DIM}', 'bits_per_dim')}, {s4(f'4.0 * {DIM} / bytes_per_vector', 'ratio')} FROM ({' UNION ALL '.join(map(_error_sql, _all_models()))})")
+def head_to_head(spark, sf_dir):
+    """Twelve configurations, six of each variant, in one table."""
+    made = metrics.head_to_head(embeddings(spark, sf_dir), _all_models())
+    return made.select("label", "bytes_per_vector", "n", r4(F.col("mse") * DIM, "scaled_mse"), r4(F.col("cosine"), "cosine"), r4(F.col("bits_per_dim"), "bits_per_dim"), r4(F.col("ratio"), "ratio"))
+
+
+def _configs_sql() -> str:
+    of_polar = f"SELECT 'PQ ' || a || 'a/' || r || 'r' AS label, 'polar' AS variant, 0 AS bits, a AS angle_bits, r AS radius_bits, {DIM // 2} + CASE WHEN a = 4 THEN {DIM // 4} ELSE {DIM // 2} END + {DIM // 8} + 8 AS bytes_per_vector FROM (VALUES {', '.join(map(str, POLAR_BITS))}) AS t(a, r)"
+    of_lm = f"SELECT 'LM ' || b, 'lloyd_max', b, 0, 0, {DIM // 8} * b + {DIM // 8} + 8 FROM (VALUES {', '.join(f'({b})' for b in LM_BITS)}) AS t(b)"
+    return f"{of_polar} UNION ALL {of_lm}"
+
+
+@registered(_configs_sql)
+def configs(spark, sf_dir):
+    return metrics.configs(spark, _all_models())
+
+
 @registered(lambda: " UNION ALL ".join(_error_sql(polar(*p)) for p in SWEEP))
 def bit_width_sweep(spark, sf_dir):
     return _errors(spark, sf_dir, [polar(*p) for p in SWEEP])
@@ -416,7 +439,7 @@ def _ip_sql(bits: int) -> str:
     kinds = {"plain": O.score(m, False, False), "corrected": O.score(m, False, True)}
     parts = [
         f"""(WITH {O.encoded(m)}, {O.prepared(EVERY)}, p AS (SELECT list_inner_product(x, qx) AS t, {s} AS e FROM enc, q)
-        SELECT {bits} AS bits, '{k}' AS estimate, count(*) AS n, {s4('avg(e - t)', 'bias')}, {s4('avg(abs(e - t))', 'mae')}, {s4('sqrt(var_samp(e - t) / count(*))', 'std_err')}, {s4('sum(e * t) / sum(t * t)', 'slope')} FROM p)"""
+        SELECT {bits} AS bits, '{k}' AS estimate, count(*) AS n, {s4('avg(e - t)', 'bias')}, {s4('avg(abs(e - t))', 'mae')}, {s4('var_samp(e - t)', 'var')}, {s4('sqrt(var_samp(e - t) / count(*))', 'std_err')}, {s4('abs(avg(e - t)) / avg(abs(t)) * 100', 'relative_bias')}, {s4('sum(e * t) / sum(t * t)', 'slope')} FROM p)"""
         for k, s in kinds.items()
     ]
     return " UNION ALL ".join(parts)
@@ -424,14 +447,10 @@ def _ip_sql(bits: int) -> str:
 
 @registered(lambda: " UNION ALL ".join(map(_ip_sql, (1, 4))))
 def inner_product_errors(spark, sf_dir):
-    rows = query_rows(embeddings(spark, sf_dir)).orderBy("query_id").collect()
-    q = np.array([r["embedding"] for r in rows], np.float64)
-    out = []
+    df, out = embeddings(spark, sf_dir), []
     for bits in (1, 4):
-        products = metrics.inner_products(embeddings(spark, sf_dir), q, [r["query_id"] for r in rows], lm(bits))
-        for kind in ("plain", "corrected"):
-            e = metrics.estimate_errors(products, kind)
-            out.append(e.select(F.lit(bits).alias("bits"), F.lit(kind).alias("estimate"), "n", *[r4(F.col(c), c) for c in ("bias", "mae", "std_err", "slope")]))
+        e = metrics.inner_product_errors(df, query_rows(df), lm(bits))
+        out.append(e.select(F.lit(bits).alias("bits"), "estimate", "n", *[r4(F.col(c), c) for c in ("bias", "mae", "var", "std_err", "relative_bias", "slope")]))
     return reduce(DataFrame.unionAll, out)
 
 
@@ -459,13 +478,69 @@ def kv_cache_size(spark, sf_dir):
     return spark.createDataFrame([(t, n, *metrics.kv_cache_bytes(m, t, n)) for t, n in ((1, 1), (4096, 32))], "tokens long, layers long, raw_bytes long, compressed_bytes long")
 
 
-# Texts to vectors
+# Vectors from seeds and texts
+
+def _uniform_sql(salt: str = "") -> str:
+    return f"((('0x' || substr(md5(seed || ':{salt}' || i), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
 
-@registered()
+
+def _unit_sql(value: str, source: str) -> str:
+    """Unit vectors of ``value`` over the seeds and places of ``source`` (vec_id, seed)."""
+    parts = f"SELECT vec_id, i, {value} AS z FROM (SELECT vec_id, seed, unnest(range({DIM})) AS i FROM {source})"
+    return f"SELECT vec_id, i, {s4('z / sqrt(sum(z * z) OVER (PARTITION BY vec_id))', 'value')} FROM ({parts})"
+
+
+@registered(lambda: _unit_sql(f"({_uniform_sql()} * 2 - 1)", "(SELECT doc_id AS vec_id, md5(text) AS seed FROM documents)"))
 def hash_embedding(spark, sf_dir):
-    """Hash vectors of the documents, encoded: whole texts, no model needed."""
+    """Hash vectors of the documents: whole texts, no model needed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("vec_id"), X.hash_vector(F.col("text"), DIM).alias("embedding"))
-    return codec.encode(docs, lm()).select("vec_id", F.hex("codes").alias("codes"), F.round(F.col("original_norm").cast("double"), 4).alias("norm"))
+    return spread(docs, "embedding")
+
+
+@registered(lambda: _unit_sql(f"({_uniform_sql()} * 2 - 1)", "(SELECT vec_id, CAST(vec_id AS VARCHAR) AS seed FROM embeddings)"))
+def seeded_vectors(spark, sf_dir):
+    """A unit vector from each id as its seed."""
+    return spread(embeddings(spark, sf_dir).select("vec_id", X.seeded_vector(F.col("vec_id"), DIM).alias("v")), "v")
+
+
+@registered(lambda: _unit_sql(f"(sqrt(-2 * ln({_uniform_sql('r')})) * cos(2 * pi() * {_uniform_sql('a')}))", "(SELECT vec_id, CAST(vec_id AS VARCHAR) AS seed FROM embeddings)"))
+def gaussian_vectors(spark, sf_dir):
+    """Unit vectors spread evenly, by normal components."""
+    return spread(embeddings(spark, sf_dir).select("vec_id", X.gaussian_vector(F.col("vec_id"), DIM).alias("v")), "v")
+
+
+#: Of the encoder that stands for a model in queries: tokens, and dimensions of their hidden states.
+TOKENS, WIDTH = 97, 8
+
+
+def _tokenize(texts):
+    import hashlib
+
+    return [[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % TOKENS for w in t.split(" ") if w] for t in texts]
+
+
+def _states() -> np.ndarray:
+    """Hidden states by token: a fixed table."""
+    i, j = np.indices((TOKENS, WIDTH))
+    return ((i * 7 + j * 13 + i * j) % 31 - 15) / 16
+
+
+def _forward(ids, mask):
+    return _states()[ids]
+
+
+def _embed_sql() -> str:
+    words = f"SELECT doc_id AS vec_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {TOKENS} AS t FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> ''"
+    pooled = f"SELECT vec_id, j, avg(((t * 7 + j * 13 + t * j) % 31 - 15) / 16.0) AS z FROM ({words}), range({WIDTH}) AS r(j) GROUP BY vec_id, j"
+    made = f"SELECT d.doc_id AS vec_id, r.j, coalesce(p.z, 0) AS z FROM documents d CROSS JOIN range({WIDTH}) AS r(j) LEFT JOIN ({pooled}) p ON p.vec_id = d.doc_id AND p.j = r.j"
+    return f"SELECT vec_id, j AS i, {s4('CASE WHEN n > 0 THEN z / n ELSE 0 END', 'value')} FROM (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY vec_id)) AS n FROM ({made}))"
+
+
+@registered(_embed_sql)
+def embed_documents(spark, sf_dir):
+    """Whole texts through tokens, padding, an encoder and the masked mean; the encoder is a table of states by token."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("vec_id"), "text")
+    return spread(embed(docs, _tokenize, _forward), "embedding")
 
 
 @registered(lambda: f"SELECT label, i, {s4('v / sqrt(sum(v * v) OVER (PARTITION BY label))', 'value')} FROM (SELECT label, i, avg(z) AS v FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS z FROM embeddings) GROUP BY label, i)")
@@ -486,10 +561,21 @@ def sql_functions(spark, sf_dir):
     return spark.sql(f"SELECT vec_id, round(score, 4) + 0.0D AS score FROM (SELECT vec_id, vq_score(vq_encode(embedding), array({', '.join(f'{float(x)!r}D' for x in row_zero(spark, sf_dir))})) AS score FROM vq_input) AS t ORDER BY t.score DESC, vec_id LIMIT 10")
 
 
+@registered(lambda: f"{_scores(polar())} {_best()}")
+def sql_functions_polar(spark, sf_dir):
+    register(spark, polar())
+    embeddings(spark, sf_dir).createOrReplaceTempView("vq_input")
+    return spark.sql(f"SELECT vec_id, round(score, 4) + 0.0D AS score FROM (SELECT vec_id, vq_score(vq_encode(embedding), array({', '.join(f'{float(x)!r}D' for x in row_zero(spark, sf_dir))})) AS score FROM vq_input) AS t ORDER BY t.score DESC, vec_id LIMIT 10")
+
+
+#: Rows that the table function ranks in one place; places are 0, 1, 2, ... so that tasks grow with the table.
+BLOCK = 65_536
+
+
 @registered(lambda: f"{_scores(lm())} {_best()}")
 def sql_search(spark, sf_dir):
-    """The search as a table function: ``vq_search(TABLE(codes), query, k)`` ranks each partition's rows."""
+    """The search as a table function: ``vq_search(TABLE(codes), query, k)`` ranks each block of rows, in batches."""
     register(spark, lm())
     encoded(spark, sf_dir, lm()).select("vec_id", "seq", "codes", "signs", "residual_norm", "original_norm").createOrReplaceTempView("vq_codes")
     query = f"array({', '.join(f'{float(x)!r}D' for x in row_zero(spark, sf_dir))})"
-    return spark.sql(f"SELECT vec_id, round(score, 4) + 0.0D AS score FROM vq_search(TABLE(SELECT * FROM vq_codes) PARTITION BY (seq % 8), {query}, 10) AS t ORDER BY t.score DESC, vec_id LIMIT 10")
+    return spark.sql(f"SELECT vec_id, round(score, 4) + 0.0D AS score FROM vq_search(TABLE(SELECT * FROM vq_codes) PARTITION BY (seq DIV {BLOCK}), {query}, 10) AS t ORDER BY t.score DESC, vec_id LIMIT 10")
