@@ -37,7 +37,9 @@ def test_insert_search_delete_compact_reopen(spark, index):
     index.compact()
     assert len(index) == index.live_count() == 2
     again = VectorIndex.open(spark, index.store.root)
-    assert len(again) == 2 and again.search(one_hot(1), 10).collect() == before
+    after = again.search(one_hot(1), 10).collect()
+    assert len(again) == 2 and [r["vec_id"] for r in after] == [r["vec_id"] for r in before]
+    assert np.allclose([r["score"] for r in after], [r["score"] for r in before], rtol=1e-12)  # other batches round otherwise
     assert index.store.exists("gen=1") and not index.store.exists("gen=0")
     index.compact()
     assert again.store.read_text("_CURRENT") == "1"
@@ -123,6 +125,31 @@ def test_other_models(spark, tmp_path, model):
     assert index.get(index.all_vectors().first()["seq"]).count() == 1
 
 
+def test_places_are_dense_and_in_order(spark, tmp_path):
+    """Over inserts of several tasks, empty ones among them, and again after compaction."""
+    index = VectorIndex.create(spark, str(tmp_path / "dense"), VectorModel.lloyd_max(16, 2))
+    first = frame(spark, [(i, one_hot(i % 16)) for i in range(50)]).repartitionByRange(6, "vec_id").where("vec_id < 10 OR vec_id > 30")
+    index.insert(first)
+    index.insert(first.limit(0))
+    index.insert(frame(spark, [(100 + i, one_hot(i)) for i in range(5)]))
+    want = [*range(10), *range(31, 50), *range(100, 105)]
+    rows = sorted((r["seq"], r["vec_id"]) for r in index.all_vectors().collect())
+    assert rows == list(enumerate(want))
+    assert [r["vec_id"] for r in index.get(10).collect()] == [31] and index.get(34).count() == 0
+    index.delete([0, 31, 104])
+    index.compact()
+    assert sorted((r["seq"], r["vec_id"]) for r in index.all_vectors().collect()) == list(enumerate(i for i in want if i not in (0, 31, 104)))
+    index.insert_one(7, one_hot(1))
+    assert index.get(31).first()["vec_id"] == 7 and not index.store.exists("staged")
+
+
+def test_a_batch_that_comes_again_replaces_itself(spark, tmp_path):
+    index = VectorIndex.create(spark, str(tmp_path / "again"), VectorModel.lloyd_max(16))
+    for _ in range(2):
+        index.insert(frame(spark, [(1, one_hot(1)), (2, one_hot(2))]), batch="a")
+    assert len(index) == 2 and sorted(r["seq"] for r in index.all_vectors().collect()) == [0, 1]
+
+
 def test_recall(spark, tmp_path):
     x = np.random.default_rng(42).standard_normal((220, 384))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -180,6 +207,26 @@ def test_record_files(spark, index, tmp_path):
         tqlm.deserialize(b"short", 16, 4)
 
 
+def test_records_are_appended_and_read_by_place(spark, index, tmp_path):
+    path, width = str(tmp_path / "more.tqlm"), index.model.bytes_per_vector
+    tqlm.write_records(index.vectors().limit(0), path, index.model)
+    assert tqlm.read_header(path) == (0, 16, 4) and (tmp_path / "more.tqlm").stat().st_size == 21
+    for n in (1, 2):
+        assert tqlm.append_records(index.vectors(), path, index.model) == 3
+        assert tqlm.read_header(path) == (3 * n, 16, 4) and (tmp_path / "more.tqlm").stat().st_size == 21 + 3 * n * width
+    kept = index.vectors().orderBy("seq").collect()
+    for place in range(6):
+        assert tqlm.read_record(path, place) == tuple(kept[place % 3][k] if isinstance(kept[0][k], float) else bytes(kept[place % 3][k]) for k in ("original_norm", "residual_norm", "codes", "signs"))
+    for place in (-1, 6):
+        with pytest.raises(IndexError):
+            tqlm.read_record(path, place)
+    spark.dataSource.register(tqlm.RecordSource)
+    assert [r["seq"] for r in spark.read.format("tqlm").load(f"file://{path}").orderBy("seq").collect()] == list(range(6))
+    with pytest.raises(StorageError):
+        tqlm.append_records(index.vectors(), path, VectorModel.lloyd_max(16, 2))
+    assert tqlm.read_header(path)[0] == 6
+
+
 def test_stream(spark, index, tmp_path):
     source = str(tmp_path / "source")
     frame(spark, [(10, one_hot(10)), (11, one_hot(11))]).coalesce(1).write.parquet(source)

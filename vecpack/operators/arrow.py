@@ -51,8 +51,7 @@ def invalid_reason(vector: Column, dim: int) -> Column:
     return F.when(vector.isNull(), "value").when(F.size(vector) != dim, F.size(vector).cast("string")).when(~finite, "value")
 
 
-def require_valid(df, vector: str, dim: int) -> None:
-    """One aggregate pass that raises DimensionMismatch or InvalidVector before anything is written."""
-    worst = df.agg(F.max(invalid_reason(F.col(f"`{vector}`"), dim)).alias("why")).first()["why"]
-    if worst is not None:
-        raise InvalidVector("null vector, or null or non-finite component") if worst == "value" else DimensionMismatch(dim, int(worst))
+def raise_invalid(reason: str | None, dim: int) -> None:
+    """Raise what the greatest :func:`invalid_reason` of some vectors stands for."""
+    if reason is not None:
+        raise InvalidVector("null vector, or null or non-finite component") if reason == "value" else DimensionMismatch(dim, int(reason))

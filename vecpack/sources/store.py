@@ -18,6 +18,10 @@ class Store:
     def exists(self, *parts: str) -> bool:
         return self._fs.exists(self._path(self.path(*parts)))
 
+    def make(self, *parts: str) -> None:
+        """An empty folder."""
+        self._fs.mkdirs(self._path(self.path(*parts)))
+
     def delete(self, *parts: str) -> None:
         self._fs.delete(self._path(self.path(*parts)), True)
 

@@ -7,25 +7,19 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from vecpack.sources.index import VectorIndex
 
-_LAST = "_LAST_BATCH"
-
-
 def insert_stream(stream: DataFrame, index: VectorIndex, vector: str = "embedding") -> DataStreamWriter:
     """A writer that inserts each micro-batch of (vec_id, vector); set its checkpoint and trigger, and start it.
 
-    The number of the last batch is kept beside the index: a batch that comes again after a restart isn't
-    inserted twice, unless the driver was lost between its insertion and that note. Encoding needs no state.
+    A batch goes to a part of the index that has its number: one that comes again after a restart, wherever
+    the driver was lost, replaces what it had written. Encoding needs no state. Compact between runs of the
+    stream, not during one: a batch that was compacted can't be replaced.
     """
 
     def insert(batch: DataFrame, number: int) -> None:
-        last = int(index.store.read_text(_LAST)) if index.store.exists(_LAST) else -1
-        if number <= last:
-            return
         kept = batch.persist()
         try:
-            index.insert(kept, vector)
+            index.insert(kept, vector, batch=f"stream-{index.generation}-{number}")
         finally:
             kept.unpersist()
-        index.store.write_text(_LAST, str(number))
 
     return stream.writeStream.foreachBatch(insert)
