@@ -3,10 +3,11 @@
 from vecpack.errors import DimensionMismatch, InvalidVector, ModelMismatch, NotFound, StorageError, VectorError
 from vecpack.model import VectorModel
 from vecpack.operators.codec import decode, encode, inspect, reconstruct
+from vecpack.operators.embed import OnnxEncoder, embed, embed_texts
 from vecpack.operators.search import exact_topk, topk, topk_join
 from vecpack.sources.index import VectorIndex
 
 __all__ = [
     "DimensionMismatch", "InvalidVector", "ModelMismatch", "NotFound", "StorageError", "VectorError", "VectorIndex", "VectorModel",
-    "decode", "encode", "exact_topk", "inspect", "reconstruct", "topk", "topk_join",
+    "OnnxEncoder", "decode", "embed", "embed_texts", "encode", "exact_topk", "inspect", "reconstruct", "topk", "topk_join",
 ]

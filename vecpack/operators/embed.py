@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,28 @@ def embed(df: DataFrame, tokenize: Tokenize, forward: Forward, text: str = "text
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.ArrayType(T.DoubleType()))]))
 
 
+@lru_cache(4)
+def _session(folder: str):
+    import onnxruntime
+
+    models = sorted(Path(folder).glob("*.onnx"))
+    if not models:
+        raise FileNotFoundError(f"no .onnx file in {folder}")
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = 1  # tasks are the parallelism
+    return onnxruntime.InferenceSession(str(models[0]), options, providers=["CPUExecutionProvider"])
+
+
+@lru_cache(4)
+def _tokenizer(folder: str):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(f"{folder}/tokenizer.json")
+    made.no_padding()
+    return made
+
+
+@dataclass(frozen=True)
 class OnnxEncoder:
     """``tokenize`` and ``forward`` of a folder with an ONNX model and a ``tokenizer.json``; both are loaded once a process.
 
@@ -70,44 +95,21 @@ class OnnxEncoder:
     ``default_dim`` where the model leaves it open. The folder must be there on every executor.
     """
 
-    def __init__(self, folder: str, default_dim: int = 384):
-        self.folder, self.default_dim = folder, default_dim
-        self._session = self._tokenizer = None
-
-    def __getstate__(self):
-        return {"folder": self.folder, "default_dim": self.default_dim, "_session": None, "_tokenizer": None}
-
-    @property
-    def session(self):
-        if self._session is None:
-            from pathlib import Path
-
-            import onnxruntime
-
-            models = sorted(Path(self.folder).glob("*.onnx"))
-            if not models:
-                raise FileNotFoundError(f"no .onnx file in {self.folder}")
-            options = onnxruntime.SessionOptions()
-            options.intra_op_num_threads = 1  # tasks are the parallelism
-            self._session = onnxruntime.InferenceSession(str(models[0]), options, providers=["CPUExecutionProvider"])
-        return self._session
+    folder: str
+    default_dim: int = 384
 
     @property
     def dim(self) -> int:
-        size = self.session.get_outputs()[0].shape[-1]
+        size = _session(self.folder).get_outputs()[0].shape[-1]
         return size if isinstance(size, int) else self.default_dim
 
     def tokenize(self, texts: Sequence[str]) -> list[list[int]]:
-        if self._tokenizer is None:
-            from tokenizers import Tokenizer
-
-            self._tokenizer = Tokenizer.from_file(f"{self.folder}/tokenizer.json")
-            self._tokenizer.no_padding()
-        return [e.ids for e in self._tokenizer.encode_batch(list(texts))]
+        return [e.ids for e in _tokenizer(self.folder).encode_batch(list(texts))]
 
     def forward(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        session = _session(self.folder)
         given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
-        wanted = {i.name for i in self.session.get_inputs()}
-        outputs = [o.name for o in self.session.get_outputs()]
+        wanted = {i.name for i in session.get_inputs()}
+        outputs = [o.name for o in session.get_outputs()]
         name = "last_hidden_state" if "last_hidden_state" in outputs else outputs[0]
-        return self.session.run([name], {k: v for k, v in given.items() if k in wanted})[0]
+        return session.run([name], {k: v for k, v in given.items() if k in wanted})[0]
