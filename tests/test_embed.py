@@ -68,14 +68,21 @@ def onnx_model(table):
     return field(1, 8) + field(7, graph) + field(8, field(1, "") + field(2, 13))
 
 
+TABLE = np.random.default_rng(1).standard_normal((5, 6)).astype(np.float32)
+
+
+def write_encoder(folder):
+    (folder / "model.onnx").write_bytes(onnx_model(TABLE))
+    vocabulary = {"[UNK]": 0, "red": 1, "green": 2, "blue": 3, "sky": 4}
+    (folder / "tokenizer.json").write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": vocabulary, "unk_token": "[UNK]"}}))
+    return folder
+
+
 def test_onnx_encoder(spark, tmp_path):
     pytest.importorskip("onnxruntime")
     pytest.importorskip("tokenizers")
-    table = np.random.default_rng(1).standard_normal((5, 6)).astype(np.float32)
-    (tmp_path / "model.onnx").write_bytes(onnx_model(table))
-    vocabulary = {"[UNK]": 0, "red": 1, "green": 2, "blue": 3, "sky": 4}
-    (tmp_path / "tokenizer.json").write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": vocabulary, "unk_token": "[UNK]"}}))
-    encoder = OnnxEncoder(str(tmp_path))
+    table = TABLE
+    encoder = OnnxEncoder(str(write_encoder(tmp_path)))
     assert encoder.dim == 6 and encoder.tokenize(["Blue sky", ""]) == [[3, 4], []]
     df = spark.createDataFrame([(1, "Blue sky"), (2, "red green other"), (3, "")], "vec_id long, text string")
     got = {r["vec_id"]: r["embedding"] for r in embed(df, encoder.tokenize, encoder.forward).collect()}
@@ -85,3 +92,22 @@ def test_onnx_encoder(spark, tmp_path):
     assert got[3] == [0.0] * 6
     with pytest.raises(FileNotFoundError):
         OnnxEncoder(str(tmp_path / "none")).dim  # noqa: B018
+
+
+@pytest.mark.parametrize("with_model", [False, True])
+def test_command_line(spark, tmp_path, capsys, with_model):
+    """A few sentences, indexed and found again by one of them."""
+    from vecpack.__main__ import main
+
+    sentences = ["red sky", "green blue", "blue sky red", "other things", None]
+    table, index = str(tmp_path / "texts.parquet"), str(tmp_path / "index")
+    spark.createDataFrame([(i, t) for i, t in enumerate(sentences)], "doc_id long, text string").where("text IS NOT NULL").write.parquet(table)
+    more = []
+    if with_model:
+        pytest.importorskip("onnxruntime")
+        folder = write_encoder(tmp_path)
+        more = ["--model-dir", str(folder)]
+    assert main(["build", index, table, "--bits", "8", *([] if with_model else ["--dim", "64"]), *more]) == 4
+    hits = main(["search", index, "green blue", "-k", "2", *more])
+    assert hits[0][0] == 1 and hits[0][1] > 0.9 and len(hits) == 2
+    assert "4 texts" in capsys.readouterr().out
