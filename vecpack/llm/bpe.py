@@ -256,7 +256,7 @@ def _bytes_of(ids: np.ndarray, vocabulary: str) -> bytes:
     return _gather(flat, offsets, ids.astype(np.int64))[0].tobytes()
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", decoded: bool = False, ordered: bool = True) -> DataFrame:
     """``df`` without its ``text``, with ``ids`` (array of int): its byte-level BPE token ids, no special ones.
 
     And n_tokens, and ids_sha256: the SHA-256 of the ids as little-endian unsigned 32-bit numbers. With
@@ -266,13 +266,17 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", dec
     itself. Null and empty texts have no ids. Pre-tokens are listed with their positions for each block of
     documents, so that a word, however common, goes once from each block to the task of its hash; ids come
     back to the block. Rows are told apart by their place in the block, not by any key: repeated rows and
-    null keys come back each time. Columns of ``df`` named like
-    a result or like a column of blocks are replaced. The rows of
-    ``df`` must come in the same order if they are read again, as from files: else the run stops, as the
-    blocks' names differ.
+    null keys come back each time. A text of any length is whole in its block; an empty table gives an empty
+    one. Columns of ``df`` named like a result or like a column of blocks are replaced.
+
+    The rows of ``df`` must come in the same order if they are read again for a lost executor, as from files:
+    else the blocks' names differ and the run stops. Rows that come out of a shuffle don't; without ``ordered``,
+    those of each partition are first sorted by a hash of all their columns.
     """
     more = [T.StructField("decoded", T.BinaryType())] if decoded else []
     docs = without(df, ["ids", "n_tokens", "ids_sha256", *_BLOCK.names, *(f.name for f in more)])
+    if not ordered:
+        docs = docs.sortWithinPartitions(F.xxhash64(*[f"`{c}`" for c in docs.columns]))
     kept = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != text]
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exploded = docs.mapInArrow(_explode(pattern, docs.columns.index(text), buckets), T.StructType(kept + _BLOCK.fields)).repartition("bpe_block")
