@@ -107,7 +107,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     A word is hit if it lies in an occurrence of a window; a document is contaminated if a word is hit and
     ``share`` times the hit words are at least its words. Null and empty texts have no words and no hits;
-    items without words have no windows; either table may be empty. Rows with null or equal keys are told
+    items without words have no windows; either table may be empty. Items of equal ids are one; one without an id
+    counts in n_items, once, and isn't in the digest. Texts of any length are whole. Rows with null or equal keys are told
     apart by ``tag``, the text's hash, and repeated rows come back each time. Other columns aren't used.
     """
     index = PositionalIndex(docs, benchmark, key, text, item, item_text, size)
