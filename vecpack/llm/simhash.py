@@ -16,6 +16,8 @@ from vecpack.llm.components import connected_components
 
 #: Shingles of one text whose bits are counted at a time.
 CHUNK = 1 << 16
+#: Different fingerprints from which anchors of three blocks keep their neighbourhoods small.
+MANY = 100_000_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -149,7 +151,7 @@ def links(fps: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame:
     return visit.join(home, (F.col("anchor") == F.col("at")) & near).select("src", "dst")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 2, words: int = 3, blocks: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 2, words: int = 3, blocks: int | None = None) -> DataFrame:
     """(key, fingerprint, component_id, tag, group) for each row of ``df``.
 
     Rows whose fingerprints differ in at most ``threshold`` bits are linked; component_id is the smallest
@@ -157,11 +159,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     never null, and ``tag`` is the text's hash, to tell rows of equal keys apart. Null and empty texts have the fingerprint
     zero and are linked by it like any other; rows with a null key are linked but never name a component
     (null if it has no other row). Repeated rows come back each time. Copies collapse to one fingerprint
-    before anything is compared; an empty table gives an empty one; other columns are not used.
+    before anything is compared; an empty table gives an empty one; other columns are not used. Texts of any
+    length are whole: their shingles are counted piece by piece. The anchors have three ``blocks`` for more
+    than MANY fingerprints, and else two.
     """
     read = df.select(F.col(f"`{key}`").alias("doc_key"), F.col(f"`{text}`").alias("doc_text")).withColumn("tag", F.xxhash64("doc_text"))
     slim = checkpointed(fingerprints(read, "doc_text", words).select("doc_key", "tag", "fp"))
     classes = checkpointed(slim.groupBy("fp").agg(F.min("doc_key").alias("least")))
+    blocks = blocks or (3 if classes.count() > MANY else 2)
     roots = connected_components(links(classes.select("fp"), threshold, blocks)).toDF("fp", "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
