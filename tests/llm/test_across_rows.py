@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 from collections import defaultdict
 from pathlib import Path
 
@@ -13,11 +14,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brute import groups, plain_contamination, plain_dedup, plain_fingerprint, plain_windows
-from vecpack.llm import bpe, common, decontaminate, embedding_dedup, language_id, line_dedup, simhash
+from vecpack.llm import bpe, common, decontaminate, embedding_dedup, language_id, line_dedup, oracle, simhash
 from vecpack.llm.components import connected_components
 from vecpack.llm.queries import ORACLE_SQL, QUERIES
 
@@ -82,9 +84,10 @@ def vector_rows(seed, n=300):
     return rows
 
 
-@pytest.mark.parametrize("piece", [1024, 20])
-def test_vectors_against_brute_force(spark, piece, monkeypatch):
+@pytest.mark.parametrize(("piece", "cell"), [(1024, 512), (20, 512), (20, 32)])
+def test_vectors_against_brute_force(spark, piece, cell, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PIECE", piece)
+    monkeypatch.setattr(embedding_dedup, "CELL", cell)
     rows = vector_rows(7)
     rows += [(1000 + i, rows[0][1]) for i in range(150)]  # copies of one
     rows += [(2000 + i, [float(np.float32(x + 0.01 * i / 100)) for x in rows[5][1]]) for i in range(120)]  # one large group of near ones
@@ -106,18 +109,49 @@ def test_only_nulls_in_a_group(spark):
     assert [tuple(r) for r in embedding_dedup.near_duplicates(df).collect()] == [(None, 1, None, True)] * 2
 
 
+def at_cosine(rng, x, cosine):
+    """A unit vector at that cosine from each row."""
+    y = rng.standard_normal(x.shape)
+    y = embedding_dedup._unit(y - (x * y).sum(1, keepdims=True) * x)
+    return cosine * x + np.sqrt(1 - cosine**2) * y
+
+
 def test_plan_reaches_its_recall():
     for rows in (2, 1000, 10**6, 10**9):
         p = embedding_dedup.Plan.of(rows, 0.9, 0.999)
-        assert p.bits >= np.log2(rows) and p.lists >= p.count
+        assert rows / 2**p.bits <= embedding_dedup.CELL and p.lists >= 1 and 2 < p.count < embedding_dedup.PROJECTIONS
     rng = np.random.default_rng(3)
     plan = embedding_dedup.Plan.of(50_000, 0.9, 0.999)
+    x = embedding_dedup._unit(rng.standard_normal((5000, 64)))
+    z = at_cosine(rng, x, 0.9)
+    share = (embedding_dedup._places(x, plan) == embedding_dedup._places(z, plan)).any(axis=1)
+    own = embedding_dedup._directions(plan, 64)[2]
+    collide = (np.abs(x @ own - z @ own) <= plan.window).sum(axis=1) >= plan.count
+    frame = np.abs(x @ own - z @ own)[:, 0] <= plan.frame
+    assert (share & collide & frame).mean() > 0.995
+
+
+def test_windows_prune():
+    """Most pairs of a cell don't collide often enough to be verified."""
+    rng = np.random.default_rng(4)
+    plan = embedding_dedup.Plan.of(50_000, 0.9, 0.999)
+    values = embedding_dedup._unit(rng.standard_normal((500, 64))) @ embedding_dedup._directions(plan, 64)[2]
+    collisions = (np.abs(values[:, None] - values[None]) <= plan.window).sum(axis=2)
+    assert (collisions >= plan.count).mean() < 0.12
+
+
+def test_planted_pairs_are_found_with_the_default_recall(spark):
+    """Through the query's own parameters: pairs just above the threshold, pairs just below it, and unrelated rows."""
+    rng = np.random.default_rng(9)
     x = embedding_dedup._unit(rng.standard_normal((2000, 64)))
-    y = rng.standard_normal((2000, 64))
-    y = embedding_dedup._unit(y - (x * y).sum(1, keepdims=True) * x)
-    z = 0.9 * x + np.sqrt(1 - 0.81) * y  # cosine just 0.9
-    (c, v), (d, w) = embedding_dedup._places(x, plan), embedding_dedup._places(z, plan)
-    assert (((c == d) & (np.abs(v - w) <= plan.window)).sum(axis=1) >= plan.count).mean() > 0.99
+    cosines = np.concatenate([rng.uniform(0.9001, 0.92, 1500), rng.uniform(0.88, 0.8999, 500)])[:, None]
+    z = np.float32(at_cosine(rng, x, cosines))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([np.float32(x), z, np.float32(rng.standard_normal((4000, 64)))]))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8)).collect()}
+    assert len(got) == len(rows)
+    found = sum(got[2000 + i] == (1, i) and got[i] == (1, i) for i in range(1500))
+    assert found >= 0.99 * 1500
+    assert all(got[i] == (0, i) for i in [*range(1500, 2000), *range(3500, 8000)])
 
 
 # SimHash
@@ -128,6 +162,17 @@ def test_fingerprints(text):
     assert simhash.fingerprint(text) % 2**64 == plain_fingerprint(text)
 
 
+def test_hashes_in_sql():
+    """The SQL's XXH64 is the library's, of texts of all lengths."""
+    rng = random.Random(8)
+    grams = {"", "a", "é", "日本語"} | {"".join(rng.choice("abc é日 xyz") for _ in range(rng.randint(0, 120))) for _ in range(300)}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE grams (gram VARCHAR)")
+    db.executemany("INSERT INTO grams VALUES (?)", [(g,) for g in grams])
+    got = dict(db.sql(oracle.xxh64("grams")).fetchall())
+    assert got == {g: xxhash.xxh64_intdigest(g.encode(), 42) for g in grams}
+
+
 def test_fingerprint_of_long_text_in_pieces(monkeypatch):
     text = " ".join(map(str, range(3000)))
     whole = simhash.fingerprint(text)
@@ -261,6 +306,22 @@ def test_empty_tables_of_passages(spark):
     assert decontaminate.contamination(docs.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+def test_items_without_an_id(spark):
+    """They hit words and count once, and have no place in the digest; ids that come again are one item."""
+    phrase = " ".join(f"p{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, f"{phrase} q {phrase}"), (2, "q0 q1")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, phrase), (None, "q0 q1"), (7, phrase), (7, "q0 q1")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (27, 26, 2, hashlib.sha256(b"7").hexdigest()), 2: (2, 2, 2, hashlib.sha256(b"7").hexdigest())}
+
+
+def test_a_long_text_and_its_passage(spark):
+    words = [f"w{i % 5000}x{i // 5000}" for i in range(120_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[50_000:50_030]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words[50_000:50_020]))], "item_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()) == [(1, 120_000, 20, False), (2, 30, 20, True)]
+
+
 def test_shuffled_vocabulary_and_proximity(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST_TERMS", 0)
     phrase = " ".join(f"p{i}" for i in range(13))
@@ -297,6 +358,14 @@ def test_ids_are_those_of_the_library(spark, reference, block, monkeypatch):
     assert bpe.encode(df.limit(0), VOCABULARY, PATTERN).count() == 0
 
 
+def test_rows_of_a_shuffle(spark, reference):
+    """Sorted within their partitions, rows make the same blocks in whatever order they come."""
+    rows = [(i % 40, f"text {i} of some words {i % 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = sorted((r["doc_id"], r["ids"]) for r in bpe.encode(df, VOCABULARY, PATTERN, ordered=False).collect())
+    assert got == sorted((i, reference.encode_ordinary(t)) for i, t in rows)
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, IDS string, bpe_block string")
     assert bpe.encode(df, VOCABULARY, PATTERN).columns == ["doc_id", "ids", "n_tokens", "ids_sha256"]
@@ -375,6 +444,73 @@ def test_many_hosts_meet_in_a_join(spark, model, monkeypatch):
     assert sorted(map(tuple, language_id.identify_documents(df, model).collect())) == few
 
 
+def plain_identity(rows, model):
+    """(language, probability, kept) of rows (text, declared, code, domain, host), by the formulas, one row at a time."""
+    n, weight, names = len(model.languages), language_id.PRIOR_WEIGHT, model.languages
+    logs, known = [], []
+    for text, declared, code, _, _ in rows:
+        row, share = model.score(text)
+        for said, right in ((declared, language_id.DECLARED_RIGHT), (code, language_id.ADDRESS_RIGHT)):
+            if said in names:
+                row = [x + np.log(right if said == k else (1 - right) / (max(n, 2) - 1)) for x, k in zip(row, names, strict=True)]
+        logs.append(np.array(row))
+        known.append(share)
+    own = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in logs]
+    counted = [i for i in range(len(rows)) if known[i] > 0]
+    top = (sum((own[i] for i in counted), np.zeros(n)) + weight / n) / (len(counted) + weight)
+    by_domain, by_host = defaultdict(list), defaultdict(list)
+    for i in counted:
+        by_domain[rows[i][3]].append(i)
+        by_host[rows[i][3], rows[i][4]].append(i)
+    out = []
+    for i, (_, _, _, domain, host) in enumerate(rows):
+        prior = top
+        if known[i] > 0:
+            for others in ([k for k in by_domain[domain] if k != i], [k for k in by_host[domain, host] if k != i]):
+                prior = (sum((own[k] for k in others), np.zeros(n)) + weight * prior) / (len(others) + weight)
+        p = np.exp(logs[i] - logs[i].max()) * prior
+        p /= p.sum()
+        kept = known[i] >= language_id.LEAST_KNOWN
+        out.append((names[int(p.argmax())] if kept else "und", float(p.max()) if kept else 0.0, kept))
+    return out
+
+
+@needs_data
+def test_language_query_against_brute_force(spark):
+    """All documents and pages, each row's evidence and priors worked out by itself."""
+    docs, pages = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "pages"))
+    model = language_id.fit(docs)
+    of_docs = [(r["doc_id"], (r["text"], None, None, r["source"] or "", r["source"] or "")) for r in docs.collect()]
+    of_pages = []
+    for r in pages.collect():
+        host, domain, code = language_id.address(r["url"])
+        of_pages.append((r["page_id"], (language_id.page_text(r["html"]), language_id.declared_language(r["html"]), code, domain, host)))
+    want = {("d", i): x for (i, _), x in zip(of_docs, plain_identity([r for _, r in of_docs], model), strict=True)}
+    want |= {("p", i): x for (i, _), x in zip(of_pages, plain_identity([r for _, r in of_pages], model), strict=True)}
+    got = QUERIES["op10_language_id"](spark, str(DATA)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        language, score, kept = want["d", r["doc_id"]] if r["page_id"] is None else want["p", r["page_id"]]
+        assert (r["lang"], r["kept"]) == (language, kept) and abs(r["score"] - score) < 2e-6
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """However often a row or an id is repeated."""
+    rows = [(1, f"text {i % 3}", "en") for i in range(2000)] + [(i, "noch ein text", "de") for i in range(500)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    assert language_id.sample(labelled, rows=10, label_rows=5).count() <= 10 + 2 * 5
+    assert language_id.sample(labelled.limit(0)).count() == 0
+
+
+def test_pages_of_any_tags_take_seconds():
+    for soup in ("<meta ", "<html ", "<script>", "<!--", "<", "<a href='", "&amp;"):
+        page = soup * (1_000_000 // len(soup))
+        begun = time.monotonic()
+        language_id.declared_language(page)
+        language_id.page_text(page)
+        assert time.monotonic() - begun < 5, soup
+
+
 @pytest.mark.parametrize(("url", "parts"), [("https://www.a.co.uk/en-us/x", ("www.a.co.uk", "co.uk", "en")), ("http://u:p@Fr.Site.com:80", ("fr.site.com", "site.com", "fr")), ("http://site.de/?x=/en/", ("site.de", "site.de", "de")), ("http://site.co/", ("site.co", "site.co", None)), ("http://site.com.br/x", ("site.com.br", "com.br", "pt")), ("nothing", ("", "", None)), (None, ("", "", None))])
 def test_addresses(url, parts):
     assert language_id.address(url) == parts

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpack.llm import bpe, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, secrets, simhash, token_counts, url_filter
+from vecpack.llm import bpe, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, oracle, secrets, simhash, token_counts, url_filter
 from vecpack.llm.common import small_batches, table
 
 
@@ -102,6 +102,20 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.9),
+        reach AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+        components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.id = c.component_id AS kept
+        FROM components c LEFT JOIN counts n ON c.id = n.a
+    """,
+    "op4_simhash": oracle.simhash_groups(),
     "op5_url_filter": """
         WITH split AS (
             SELECT page_id,
