@@ -17,7 +17,7 @@ from vecpack.llm.common import small_batches, without
 from vecpack.llm.memory import give_back
 
 #: Characters of text after which a block of documents, and with it its word list, is closed.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 2_000_000
 #: Words whose ids a Python worker remembers; then it forgets them all.
 REMEMBERED = 300_000
 
@@ -32,7 +32,9 @@ def _ranks(path: str) -> dict[bytes, int]:
 def _encoding(path: str, pattern: str):
     import tiktoken
 
-    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
+    made = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
+    _ranks.cache_clear()
+    return made
 
 
 @lru_cache(2)
@@ -42,6 +44,7 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     by_id = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         by_id[i] = token
+    _ranks.cache_clear()
     return np.frombuffer(b"".join(by_id), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in by_id])])
 
 

@@ -38,7 +38,7 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "4m") -> None:
     """Bound what one Arrow batch of long texts can weigh, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
