@@ -103,7 +103,9 @@ def sample(labelled: DataFrame, key: str = "doc_id", text: str = "text", label:
     good = labelled.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(text).isNotNull())
     hashed = good.select(F.col(label).alias("label"), F.col(key).alias("key"), F.xxhash64(key).alias("h")).distinct()
     pairs = {(r[0], r[1]) for r in hashed.orderBy("h", "key", "label").limit(rows).collect()} | set(_least_of_each(hashed, label_rows))
-    wanted = labelled.sparkSession.createDataFrame(sorted(pairs), T.StructType([T.StructField("label", labelled.schema[label].dataType), T.StructField("key", labelled.schema[key].dataType)]))
+    # As an Arrow table: a list of rows would start Python workers of its own on the executors.
+    wanted = labelled.sparkSession.createDataFrame(pa.table({"label": pa.array([p[0] for p in sorted(pairs)], pa.string()), "key": pa.array([p[1] for p in sorted(pairs)], None if pairs else pa.null())}))
+    wanted = wanted.select("label", F.col("key").cast(labelled.schema[key].dataType).alias("key"))
     found = good.select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(wanted), ["label", "key"], "left_semi")
     return found.groupBy("label", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
