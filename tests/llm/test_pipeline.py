@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from brute import groups, plain_contamination, plain_dedup, plain_shingles, plain_windows
+from vecpack.llm import common, decontaminate
 from vecpack.llm.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -56,6 +57,19 @@ def test_run_is_all_stages(spark, stages):
     assert got == {r["doc_id"]: r["ids_sha256"] for r in stages[-1].collect()}
 
 
+def test_stages_that_shuffle_keep_the_same(spark, stages, monkeypatch):
+    """Beyond the bound of broadcasts each stage keeps what it keeps below it."""
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_TERMS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            again = stage(spark, stages[i], str(DATA)).select(stages[i + 1].columns)
+            assert sorted(map(repr, again.collect())) == sorted(map(repr, stages[i + 1].collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_awkward_documents(spark, tmp_path):
     """Nulls, repeated ids and rows: every stage takes what the one before it gives."""
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
