@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from vecpack.functions import expressions as X
 from vecpack.functions import kernels
 from vecpack.model import VectorModel
-from vecpack.operators import codec
+from vecpack.operators import codec, search
 
 
 @settings(max_examples=60, deadline=None)
@@ -71,3 +72,28 @@ def test_hash_vectors(spark):
     a, again, b = (np.array(r["v"]) for r in df.collect())
     assert (a == again).all() and abs(np.linalg.norm(a) - 1) < 1e-12 and a @ b < 0.9
     assert spark.range(1).select(X.one_hot(F.lit(2), 4).alias("v")).first()["v"] == [0, 0, 1, 0]
+
+
+def test_code_similarity_gives_all_pairs_in_small_batches(spark):
+    """However many rows a batch of the right side has: what leaves the worker at once is bounded."""
+    model, x = VectorModel.polar(16), np.random.default_rng(7).standard_normal((5000, 16))
+
+    class Right:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    left = codec.encode(rows(spark, x[:300]), model)
+    e = kernels.encode(x, model)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), *codec.to_arrow(e, model)], names=["vec_id", *(f.name for f in codec.code_fields(model))])
+    made = list(search.code_similarity(left, Right(), model).run([batch]))
+    assert max(b.num_rows for b in made) <= 250_000
+    near = e.approximation(model)
+    got = pa.Table.from_batches(made)
+    a, b = got["left_id"].to_numpy(), got["right_id"].to_numpy()
+    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == got.num_rows == 300 * 5000
+    assert np.allclose(got["similarity"].to_numpy(), (near[:300] @ near.T)[a, b])
+    assert search.code_similarity(left.where("false"), Right(), model).count() == 0

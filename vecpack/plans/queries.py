@@ -333,8 +333,8 @@ def polar_search(spark, sf_dir):
 
 @registered(lambda: f"WITH {O.encoded(polar())} SELECT a.vec_id AS left_id, b.vec_id AS right_id, {s4('list_inner_product(a.near, b.near)', 'similarity')} FROM (SELECT * FROM enc WHERE {EVERY}) a, enc b")
 def polar_code_similarity(spark, sf_dir):
-    rows = codec.encode(embeddings(spark, sf_dir), polar())
-    return search.code_similarity(rows.where(EVERY), rows, polar()).select("left_id", "right_id", r4(F.col("similarity"), "similarity"))
+    rows = embeddings(spark, sf_dir)
+    return search.code_similarity(codec.encode(rows.where(EVERY), polar()), codec.encode(rows, polar()), polar()).select("left_id", "right_id", r4(F.col("similarity"), "similarity"))
 
 
 # Baselines and measures
