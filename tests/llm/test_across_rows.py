@@ -366,6 +366,15 @@ def test_rows_of_a_shuffle(spark, reference):
     assert got == sorted((i, reference.encode_ordinary(t)) for i, t in rows)
 
 
+def test_word_lists_are_shuffled_once(spark):
+    """Texts are split once, and two exchanges take lists to their buckets and ids back to the blocks."""
+    encoded = bpe.encode(spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").repartition(3), VOCABULARY, PATTERN)
+    assert len(encoded.collect()) == 40
+    plan = encoded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sorted("ReusedExchange" in line for line in lines) == [False, False, True]
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, IDS string, bpe_block string")
     assert bpe.encode(df, VOCABULARY, PATTERN).columns == ["doc_id", "ids", "n_tokens", "ids_sha256"]

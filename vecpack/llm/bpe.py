@@ -102,9 +102,9 @@ def _long(raw: bytes) -> np.ndarray:
 
 #: What a row of a block is by its bucket: a document, or its sequences; from 0 a list of words.
 _DOCUMENT, _SEQUENCES = -1, -2
-#: The columns that blocks have beside those of the documents.
+#: The columns that blocks have beside those of the documents; ``bpe_to`` is where a row goes: a list to its bucket, others to the block.
 _BLOCK = T.StructType([
-    T.StructField("bpe_block", T.StringType()), T.StructField("bpe_bucket", T.IntegerType()), T.StructField("bpe_row", T.IntegerType()), T.StructField("bpe_packed", T.BinaryType()),
+    T.StructField("bpe_to", T.StringType()), T.StructField("bpe_block", T.StringType()), T.StructField("bpe_bucket", T.IntegerType()), T.StructField("bpe_row", T.IntegerType()), T.StructField("bpe_packed", T.BinaryType()),
 ])
 
 
@@ -115,7 +115,7 @@ def _explode(pattern: str, text: int, buckets: int):
     document the numbers of its pre-tokens in the block's list, by position. The list of distinct
     pre-tokens, numbered from the most frequent, is dealt to buckets by hash, one row for each bucket; which
     numbers a bucket has goes with the sequences. A block's name ends with a digest of its list, so that
-    words can't meet numbers that belong to others.
+    words can't meet numbers that belong to others. No bucket is named like a block, whose name has colons.
     """
     import regex
     from pyspark import TaskContext
@@ -130,7 +130,8 @@ def _explode(pattern: str, text: int, buckets: int):
         chars, closed, schema = 0, 0, None
 
         def rows_of(name, rest, bucket, row, packed):
-            columns = [pa.array([name] * len(bucket), pa.string()), pa.array(bucket, pa.int32()), pa.array(row, pa.int32()), pa.array(packed, pa.binary())]
+            to = [name if b < 0 else str(b) for b in bucket]
+            columns = [pa.array(to, pa.string()), pa.array([name] * len(bucket), pa.string()), pa.array(bucket, pa.int32()), pa.array(row, pa.int32()), pa.array(packed, pa.binary())]
             return pa.RecordBatch.from_arrays((rest or [pa.nulls(len(bucket), f.type) for f in schema]) + columns, names=schema.names + _BLOCK.names)
 
         def close():
@@ -267,8 +268,8 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", dec
 
     ``vocabulary`` is the place of a file of tiktoken ranks; each match of ``pattern`` is encoded by
     itself. Null and empty texts have no ids. Pre-tokens are listed with their positions for each block of
-    documents, so that a word, however common, goes once from each block to the task of its hash; ids come
-    back to the block. Rows are told apart by their place in the block, not by any key: repeated rows and
+    documents, so that a word, however common, goes once from each block to the task of its hash, and by no
+    way round; ids come back to the block. Rows are told apart by their place in the block, not by any key: repeated rows and
     null keys come back each time. A text of any length is whole in its block; an empty table gives an empty
     one. Columns of ``df`` named like a result or like a column of blocks are replaced.
 
@@ -282,19 +283,13 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", dec
         docs = docs.sortWithinPartitions(F.xxhash64(*[f"`{c}`" for c in docs.columns]))
     kept = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != text]
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    exploded = docs.mapInArrow(_explode(pattern, docs.columns.index(text), buckets), T.StructType(kept + _BLOCK.fields)).repartition("bpe_block")
-    # Only the lists go on from here; both readers of the exchange get all columns, so that it is reused.
-    lists = exploded.mapInArrow(_only_lists, _BLOCK).repartition("bpe_bucket")
+    exploded = docs.mapInArrow(_explode(pattern, docs.columns.index(text), buckets), T.StructType(kept + _BLOCK.fields)).repartition("bpe_to")
+    # One exchange takes the lists to their buckets and the rest to the blocks. Both its readers get all columns, and filters
+    # that Spark can't move below it, so that it is reused; and the blocks' reader keeps its partitions.
+    lists, rest = (exploded.where(f"bpe_bucket {x} 0 OR monotonically_increasing_id() < 0") for x in (">=", "<"))
     words = lists.mapInArrow(_encode_words(vocabulary, pattern), "bpe_block string, bpe_bucket int, bpe_ids binary")
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), *more])
-    return exploded.groupBy("bpe_block").cogroup(words.groupBy("bpe_block")).applyInArrow(_assemble(vocabulary if decoded else None), schema)
-
-
-def _only_lists(batches):
-    for batch in batches:
-        rows = batch.filter(pc.greater_equal(batch.column(batch.schema.get_field_index("bpe_bucket")), 0))
-        if rows.num_rows:
-            yield rows.select(_BLOCK.names)
+    return rest.groupBy("bpe_to").cogroup(words.groupBy("bpe_block")).applyInArrow(_assemble(vocabulary if decoded else None), schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
