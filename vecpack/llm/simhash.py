@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from vecpack.llm.common import checkpointed, with_python_columns
 from vecpack.llm.components import connected_components
 
-#: Shingles of one text whose bits are counted at a time.
+#: Shingles of a text whose bits are counted at a time.
 CHUNK = 1 << 16
 #: Different fingerprints from which anchors of three blocks keep their neighbourhoods small.
 MANY = 100_000_000
@@ -37,11 +37,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         grams = [b" ".join(w)]
     else:
         grams = list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
+    return majority(np.fromiter((xxh64_intdigest(g, 42) for g in grams), "<u8", len(grams)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of some unsigned 64-bit hashes, as a signed number; 0 without hashes."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, len(grams), CHUNK):
-        hashes = np.array([xxh64_intdigest(g, 42) for g in grams[i : i + CHUNK]], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")[0])
+    for i in range(0, len(hashes), CHUNK):
+        some = np.ascontiguousarray(hashes[i : i + CHUNK], "<u8").view(np.uint8)
+        ones += np.unpackbits(some.reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
@@ -151,6 +156,15 @@ def links(fps: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame:
     return visit.join(home, (F.col("anchor") == F.col("at")) & near).select("src", "dst")
 
 
+def groups(fps: DataFrame, threshold: int = 2, blocks: int | None = None) -> DataFrame:
+    """(fp, root) of those of the distinct ``fp`` that have :func:`links`; chains of links have one root.
+
+    The anchors have three ``blocks`` for more than MANY fingerprints, and else two.
+    """
+    blocks = blocks or (3 if fps.count() > MANY else 2)
+    return connected_components(links(fps, threshold, blocks)).toDF("fp", "root")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 2, words: int = 3, blocks: int | None = None) -> DataFrame:
     """(key, fingerprint, component_id, tag, group) for each row of ``df``.
 
@@ -160,14 +174,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     zero and are linked by it like any other; rows with a null key are linked but never name a component
     (null if it has no other row). Repeated rows come back each time. Copies collapse to one fingerprint
     before anything is compared; an empty table gives an empty one; other columns are not used. Texts of any
-    length are whole: their shingles are counted piece by piece. The anchors have three ``blocks`` for more
-    than MANY fingerprints, and else two.
+    length are whole: their shingles are counted piece by piece.
     """
     read = df.select(F.col(f"`{key}`").alias("doc_key"), F.col(f"`{text}`").alias("doc_text")).withColumn("tag", F.xxhash64("doc_text"))
     slim = checkpointed(fingerprints(read, "doc_text", words).select("doc_key", "tag", "fp"))
     classes = checkpointed(slim.groupBy("fp").agg(F.min("doc_key").alias("least")))
-    blocks = blocks or (3 if classes.count() > MANY else 2)
-    roots = connected_components(links(classes.select("fp"), threshold, blocks)).toDF("fp", "root")
+    roots = groups(classes.select("fp"), threshold, blocks)
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
     return slim.join(named, "fp").select(F.col("doc_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "tag", F.col("root").alias("group"))
